@@ -17,14 +17,15 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucketed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """(bucket, doc_id, text); by default two buckets for each shuffle partition."""
+def bucketed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, **more) -> DataFrame:
+    """(bucket, doc_id, text) and more columns; by default two buckets for each shuffle partition."""
     buckets = buckets or 2 * partitions(docs)
     spread = F.xxhash64(F.col(id_col).cast("string"), F.length(text_col), F.lit(7))
     return docs.select(
         F.pmod(spread, F.lit(buckets)).cast("int").alias("bucket"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
+        *[c.alias(name) for name, c in more.items()],
     )
 
 
@@ -50,3 +51,12 @@ def pack_sorted(values: np.ndarray) -> bytes:
 def unpack_sorted(block: bytes) -> np.ndarray:
     planes = np.frombuffer(block, np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that slowly changing or small numbers compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(block: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
