@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinflow.llm import bpe, divergence_rules, mixing, trie_dedup
+from skeinflow.llm import bpe, divergence_rules, mixing, near_dedup, trie_dedup
 
 
 def _without(docs: DataFrame, gone: DataFrame, key) -> DataFrame:
@@ -29,6 +29,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate component stays."""
+    classes = near_dedup.near_duplicate_classes(docs)
+    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")), "left_anti")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the mix takes, once for each copy."""
     return mixing.mixed_documents(docs)
@@ -39,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, *bpe.vocabulary())
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("mixing", mix_sources), ("byte-level BPE", encode)]
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("MinHash near-dedup", near_dedup_stage), ("mixing", mix_sources), ("byte-level BPE", encode)]
 ORACLE_SQL = None
 
 
