@@ -7,8 +7,10 @@ starts anywhere else, in the same document too.
    strings have equal anchors, so strings are compared within an anchor only. The
    region of an anchor is all that strings with this anchor can cover.
 2. Shards of anchors count equal regions. A region found twice is repeated as a
-   whole. Where an anchor has different regions, one bucket supplies the bytes of
-   each of them.
+   whole. A string has half of what surrounds its anchor, or more, on one side; a
+   region whose anchor with that half is not in another region, on either side, has
+   no repeated string otherwise. Of those left, one bucket supplies each region's
+   bytes.
 3. A task joins the regions of its anchors into texts of about ``_TEXT_BYTES``, makes
    the transform and extends intervals backwards, breadth first, so that common
    prefixes come by increasing value; it stops at ``length``. What is then without a
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .buckets import bucketed, by_shard, partitions
-from .textbytes import RangeHash, column_slices
+from .textbytes import RangeHash, column_slices, mix
 
-LENGTH, GRAM, HOT_REGIONS = 400, 100, 2000
-_TEXT_BYTES = 1_000_000
+LENGTH, GRAM, HOT_REGIONS = 400, 300, 500
+_TEXT_BYTES = 300_000
 _A, _B = RangeHash(31), RangeHash(32)
 _DUP, _SUPPLY, _HOT = 1, 2, 4
 _ROW = "kind int, shard int, bucket int, body binary"
@@ -53,24 +55,24 @@ class _Bucket:
         self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.length, self.gram = length, gram
         self.parts, base = [], 0
-        anchor, first, second, start, end = [], [], [], [], []
+        found: list[list] = [[] for _ in range(6)]
         for row, data, offsets in column_slices(self.table["text"], 1_000_000):
             self.parts.append((row, data, offsets, base))
             if len(data) >= length:
-                for out, x in zip((anchor, first, second, start, end), self._anchors(data, offsets), strict=True):
-                    out.append(x + base if out is start or out is end else x)
+                for k, (out, x) in enumerate(zip(found, self._anchors(data, offsets), strict=True)):
+                    out.append(x + base if k > 3 else x)
             base += len(data)
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        anchor, first, second = (join(x, np.uint64) for x in (anchor, first, second))
-        self.start, self.end = join(start, np.int64), join(end, np.int64)
-        order = np.lexsort((second, first, anchor))
-        a, b, c = anchor[order], first[order], second[order]
+        kinds = (np.uint64,) * 4 + (np.int64,) * 2
+        anchor, region, left, right, self.start, self.end = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, kinds, strict=True))
+        order = np.lexsort((region, anchor))
+        a, b = anchor[order], region[order]
         new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.order, self.head = order, np.flatnonzero(new)
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
-        self.anchor, self.first, self.second = a[self.head], b[self.head], c[self.head]
+        self.anchor, self.region = a[self.head], b[self.head]
+        self.left, self.right = left[order][self.head], right[order][self.head]
         self.several = np.diff(np.append(self.head, len(order))) > 1
 
     def _anchors(self, data: np.ndarray, offsets: np.ndarray):
@@ -88,8 +90,12 @@ class _Bucket:
         p = np.flatnonzero(most[: len(grams)] == grams)
         row = np.searchsorted(offsets, p, "right") - 1
         start, end = np.maximum(p + k - length, offsets[row]), np.minimum(p + length, offsets[row + 1])
+        half = (length - k) // 2
+        left = np.where(p - half >= offsets[row], _A.of(pre, np.maximum(p - half, 0), p + k), np.uint64(0))
+        right = np.where(p + k + half <= offsets[row + 1], _A.of(pre, p, np.minimum(p + k + half, n)), np.uint64(0))
         shift = (p - start).astype(np.uint64)
-        return grams[p], _A.of(pre, start, end) + shift, _B.of(pre2, start, end) ^ shift, start, end
+        # least hashes are small numbers: mixed again, they spread over the shards
+        return mix(grams[p]), _B.of(pre2, start, end) ^ shift, left, right, start, end
 
     def status(self, rows: pa.Table, shards: int) -> np.ndarray:
         out = np.zeros(len(self.anchor), np.uint8)
@@ -129,28 +135,32 @@ def _regions(length: int, gram: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         own = _Bucket(table, length, gram)
-        return _rows([(0, s, bucket, own.anchor[a:b].tobytes() + own.first[a:b].tobytes() + own.second[a:b].tobytes() + own.several[a:b].astype(np.uint64).tobytes()) for s, a, b in by_shard(own.anchor, shards)])
+        return _rows([(0, s, bucket, b"".join(x[a:b].tobytes() for x in (own.anchor, own.region, own.left, own.right, own.several.astype(np.uint64)))) for s, a, b in by_shard(own.anchor, shards)])
 
     return run
 
 
 def _count(hot_regions: int):
     def run(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x.as_py(), np.uint64).reshape(4, -1) for x in table["body"]]
-        anchor, first, second, several = np.concatenate(sent, axis=1)
-        order = np.lexsort((second, first, anchor))
-        a, b, c = anchor[order], first[order], second[order]
+        sent = [np.frombuffer(x.as_py(), np.uint64).reshape(5, -1) for x in table["body"]]
+        anchor, region, left, right, several = np.concatenate(sent, axis=1)
+        order = np.lexsort((region, anchor))
+        a, b = anchor[order], region[order]
         new_a = np.ones(len(order), bool)
         new_a[1:] = a[1:] != a[:-1]
         new = new_a.copy()
-        new[1:] |= (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        new[1:] |= b[1:] != b[:-1]
         head, group = np.flatnonzero(new), np.cumsum(new) - 1
         dup = (np.diff(np.append(head, len(order))) > 1) | (np.maximum.reduceat(several[order], head) > 0)
+        near = np.zeros(len(head), bool)
+        for side in (left, right):
+            value, inverse, counts = np.unique(side[order][head], return_inverse=True, return_counts=True)
+            near |= (counts[inverse] > 1) & (value[inverse] > 0)
         of_anchor = (np.cumsum(new_a) - 1)[head]
-        regions = np.bincount(of_anchor)[of_anchor]
-        state = dup * _DUP + (regions > hot_regions) * _HOT
+        regions = np.bincount(of_anchor, near)[of_anchor]
+        state = dup * _DUP + (near & (regions > hot_regions)) * _HOT
         status = state[group].astype(np.uint8)
-        status[head] |= np.where(regions > 1, _SUPPLY, 0).astype(np.uint8)
+        status[head] |= np.where(near & (regions > 1), _SUPPLY, 0).astype(np.uint8)
         back = np.empty(len(order), np.uint8)
         back[order] = status
         cuts = np.cumsum([0, *(x.shape[1] for x in sent)])
@@ -398,11 +408,11 @@ def _apply(length: int, gram: int):
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, hot_regions: int = HOT_REGIONS, buckets: int | None = None, shards: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_bytes); see the module's text."""
-    gram = min(gram, max(1, length // 2))
+    gram = min(gram, max(1, 3 * length // 4))
     shards = shards or partitions(docs)
     own = bucketed(docs, id_col, text_col, buckets).groupBy("bucket")
     counted = own.applyInArrow(_regions(length, gram, shards), _ROW).groupBy("shard").applyInArrow(_count(hot_regions), _ROW)
-    found = own.cogroup(counted.groupBy("bucket")).applyInArrow(_supply(length, gram, shards), _ROW).groupBy("kind", "shard").applyInArrow(_expand(length), _ROW)
+    found = own.cogroup(counted.groupBy("bucket")).applyInArrow(_supply(length, gram, shards), _ROW).repartition(2 * shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(_expand(length), _ROW)
     return own.cogroup(found.groupBy("bucket")).applyInArrow(_apply(length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
 
 
