@@ -61,4 +61,4 @@ def staged_fraction(df: DataFrame, station: str, year: str, value: str, experime
     s = df.groupBy(station, experiment, model, member).agg(F.try_divide(F.covar_samp(year, value), F.var_samp(year)).alias("b")).where("b is not null")
     m = s.groupBy(experiment, model, member).agg(F.avg("b").alias("b")).groupBy(experiment, model).agg(F.avg("b").alias("b"))
     wide = m.groupBy(model).pivot(experiment, [treated, control]).agg(F.first("b")).dropna()
-    return wide.agg(F.count("*").alias("models"), F.avg(treated).alias("treated"), F.avg(control).alias("control")).withColumn("fraction", F.try_divide(F.col(treated) - F.col(control), F.col(treated)))
+    return wide.agg(F.count("*").alias("models"), F.avg(treated).alias("treated"), F.avg(control).alias("control")).withColumn("fraction", F.try_divide(F.col("treated") - F.col("control"), F.col("treated")))

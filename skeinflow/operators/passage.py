@@ -91,13 +91,13 @@ def permutation_null(panel: DataFrame, keys: Sequence[str], year: str, value: st
 
     Panels are small; draws multiply them after that reduction only.
     """
-    base = panel.dropna(subset=[year, value]).select(*keys, F.col(year).alias("x"), F.col(value).alias("y"))
-    base = base.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y")))
-    many = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    by = Window.partitionBy(*keys, "draw").orderBy(F.xxhash64(F.lit(seed), "draw", *keys, "k"))
-    dealt = many.withColumn("to", F.row_number().over(by))
-    pairs = many.select(*keys, "draw", "k", "x").join(dealt.select(*keys, "draw", F.col("to").alias("k"), "y"), [*keys, "draw", "k"])
-    slopes = pairs.groupBy(*keys, "draw").agg(F.regr_slope("y", "x").alias("b")).groupBy("draw").agg(F.avg("b").alias("b"))
+    base = panel.dropna(subset=[year, value]).select(*keys, F.col(year).alias("_x"), F.col(value).alias("_y"))
+    base = base.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_x", "_y")))
+    many = base.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    by = Window.partitionBy(*keys, "_draw").orderBy(F.xxhash64(F.lit(seed), "_draw", *keys, "_k"))
+    dealt = many.withColumn("_to", F.row_number().over(by))
+    pairs = many.select(*keys, "_draw", "_k", "_x").join(dealt.select(*keys, "_draw", F.col("_to").alias("_k"), "_y"), [*keys, "_draw", "_k"])
+    slopes = pairs.groupBy(*keys, "_draw").agg(F.regr_slope("_y", "_x").alias("b")).groupBy("_draw").agg(F.avg("b").alias("b"))
     return slopes.agg(F.avg("b").alias("mean"), F.percentile("b", 0.025).alias("low"), F.percentile("b", 0.975).alias("high"))
 
 

@@ -71,9 +71,9 @@ def trend_with_error(spark, sf_dir):
 
 
 @query(f"""WITH {_QUANTILES}, m AS (SELECT l_suppkey, year::DOUBLE AS x, q50_doy AS y, (year >= 1998)::INT::DOUBLE AS s FROM pq WHERE q50_doy IS NOT NULL),
-c AS (SELECT l_suppkey, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(s, s) AS ss, covar_pop(x, s) AS xs, covar_pop(x, y) AS xy, covar_pop(s, y) AS sy FROM m GROUP BY 1)
+cc AS (SELECT l_suppkey, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(s, s) AS ss, covar_pop(x, s) AS xs, covar_pop(x, y) AS xy, covar_pop(s, y) AS sy FROM m GROUP BY 1)
 SELECT l_suppkey, n, round(CASE WHEN ss > 0 AND xx * ss - xs * xs > 1e-9 * xx * ss THEN (ss * xy - xs * sy) / (xx * ss - xs * xs) ELSE xy / xx END * 10, 4) AS per_decade,
- round(CASE WHEN ss > 0 AND xx * ss - xs * xs > 1e-9 * xx * ss THEN (xx * sy - xs * xy) / (xx * ss - xs * xs) END, 4) AS step FROM c WHERE n >= 4 AND xx > 0""")
+ round(CASE WHEN ss > 0 AND xx * ss - xs * xs > 1e-9 * xx * ss THEN (xx * sy - xs * xy) / (xx * ss - xs * xs) END, 4) AS step FROM cc WHERE n >= 4 AND xx > 0""")
 def trend_with_break(spark, sf_dir):
     return _r(passage.trend_with_break(_quantiles(spark, sf_dir), ["l_suppkey"], "year", "q50_doy", 1998, min_n=4), "per_decade", "step", places=4)
 
@@ -282,7 +282,7 @@ w AS (SELECT m, max(b) FILTER (e = 'F') AS f, max(b) FILTER (e = 'O') AS o FROM
 @query(f"WITH {_ENSEMBLE} SELECT count(*) AS models, round(avg(f), 3) AS treated, round(avg(o), 3) AS control, round((avg(f) - avg(o)) / avg(f), 4) AS fraction FROM w WHERE f IS NOT NULL AND o IS NOT NULL")
 def staged_fraction(spark, sf_dir):
     d = _t(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O")).select((F.col("o_custkey") % 20).alias("st"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").cast("double").alias("v"), F.col("o_orderstatus").alias("e"), F.col("o_orderpriority").alias("m"), (F.col("o_custkey") % 3).alias("k"))
-    out = inference.staged_fraction(d, "st", "year", "v", "e", "m", "k", "F", "O").withColumnsRenamed({"F": "treated", "O": "control"})
+    out = inference.staged_fraction(d, "st", "year", "v", "e", "m", "k", "F", "O")
     return _r(_r(out, "treated", "control", places=3), "fraction", places=4)
 
 
