@@ -14,7 +14,9 @@ linked with nothing. Documents are linked if 100 * intersection >= 75 * union.
    coordinates - matches + 1 pairs only, which two candidates cannot both miss.
 4. In each list every node is compared with the list's first node only, on the full
    sets. Verified links give components.
-5. Lists that still hold several components are gone through exactly: candidates
+5. ``star_rounds`` times, nodes outside a list's largest component are compared with
+   another node of that component.
+6. Lists that still hold several components are gone through exactly: candidates
    across components that were not compared yet, in blocks of ``block`` nodes, are
    verified too. Pairs inside a component need no look, so a large group of near
    copies costs a comparison for each of its nodes, not for each of its pairs.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .buckets import by_shard, partitions
 from .components import connected_components
@@ -40,6 +42,7 @@ from .textbytes import RangeHash, column_slices, lower, mix, run_hash, windows,
 WIDTH, COORDINATES, MATCHES = 5, 48, 20
 _WORD = RangeHash(41)
 _ROW_BITS = 52
+_NONE = np.iinfo(np.int64).max
 _MASK = np.uint64((1 << _ROW_BITS) - 1)
 
 
@@ -171,12 +174,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, grou
     return sent.groupBy("leader", "part").applyInArrow(_compare(width, percent), "a long, b long")
 
 
-def _across(matches: int):
-    """Candidates across components in one block, or in two blocks, of a list."""
+def _outsiders(posted: DataFrame, roots: DataFrame, seed: int, lists: int = 8) -> DataFrame:
+    """Pairs of each list's nodes outside its largest component with one node of that, another one each round.
+
+    A node is tried in ``lists`` of its lists at most in one round; what is left is for later rounds and the exact pass.
+    """
+    labelled = posted.join(roots, "node", "left").select("item", "node", F.coalesce("root", "node").alias("root"))
+    parts = labelled.groupBy("item", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.lit(seed), "node")).alias("leader"))
+    largest = parts.groupBy("item").agg(F.max_by(F.struct("root", "leader"), F.struct("n", "root")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    pairs = labelled.join(largest, "item").where(F.col("root") != F.col("top.root")).select("item", "node", F.col("top.leader").alias("leader"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64(F.lit(seed), "item")))
+    pairs = pairs.withColumn("place", place).where(F.col("place") <= lists)
+    return pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("leader")).distinct()
+
+
+def _across(matches: int, wide: int, percent: int):
+    """Candidates across components in one block, or in two blocks, of a list.
+
+    They agree in ``matches`` coordinates, and in as many of the wide signature's as
+    linked nodes do but for a chance of one in ten million (5.3 deviations).
+    """
+    share = percent / 100
+    least = wide * share - 5.3 * (wide * share * (1 - share)) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
         node, root, side = (table[c].to_numpy() for c in ("node", "root", "side"))
         signature = _matrix(table["signature"])
+        more = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint8).reshape(len(node), wide)
+        item, lists = table["item"][0].as_py(), table["lists"].to_pylist()
+        most = max(map(len, lists))
+        lists = np.array([x + [_NONE] * (most - len(x)) for x in lists])
         a, b = [], []
         names, counts = np.unique(root, return_counts=True)
         rest = root != names[np.argmax(counts)]
@@ -188,6 +215,10 @@ def _across(matches: int):
                 other &= side != side[i]
             other = np.flatnonzero(other)
             hit = other[(signature[other] == signature[i]).sum(axis=1) >= matches]
+            hit = hit[(more[hit] == more[i]).sum(axis=1) >= least]
+            # of the lists that both are in, the first one tells of the pair
+            both = np.isin(lists[hit], lists[i]) & (lists[hit] != _NONE)
+            hit = hit[np.where(both, lists[hit], _NONE).min(axis=1, initial=_NONE) == item]
             a.append(np.maximum(node[hit], node[i]))
             b.append(np.minimum(node[hit], node[i]))
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -196,7 +227,7 @@ def _across(matches: int):
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 4096) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 4096, star_rounds: int = 2, wide: int = 768) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; see the module's text."""
     shards = partitions(docs)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -210,21 +241,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     named = nodes.join(active, F.col("node") == F.col("active")).select("node", "first_id", "signature")
     # several rows may have the id of a node's first document: the set tells them apart
     keyed = own.join(named.select(F.col("first_id").alias("fid")).distinct(), F.col("doc_id").eqNullSafe(F.col("fid"))).select("doc_id", "text")
-    texts = cut(keyed.mapInArrow(_named(width), "node long, text string").dropDuplicates(["node"]))
+    texts = cut(keyed.mapInArrow(_named(width, wide), "node long, text string, wide binary").dropDuplicates(["node"]))
 
     leaders = posted.groupBy("item").agg(F.min("node").alias("leader"))
-    stars = cut(posted.join(leaders, "item").where("node <> leader").select(F.col("node").alias("a"), "leader").distinct())
-    links = cut(_verified(stars, texts, width, percent))
+    tried = cut(posted.join(leaders, "item").where("node <> leader").select(F.col("node").alias("a"), "leader").distinct())
+    links = cut(_verified(tried, texts, width, percent))
     roots = cut(connected_components(links))
+    for seed in range(star_rounds):
+        more = cut(_outsiders(posted, roots, seed).join(tried, ["a", "leader"], "left_anti"))
+        if more.isEmpty():
+            break
+        tried = cut(tried.unionByName(more))
+        links = cut(links.unionByName(_verified(more, texts, width, percent)))
+        roots = cut(connected_components(links))
 
     labelled = posted.join(roots, "node", "left").select("item", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high and n > 2")
-    left = labelled.join(mixed.select("item", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "item").join(named.select("node", "signature"), "node")
+    left = labelled.join(mixed.select("item", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "item").join(named.select("node", "signature"), "node").join(texts.select("node", "wide"), "node")
+    left = left.join(posted.groupBy("node").agg(F.collect_list("item").alias("lists")), "node")
     left = left.withColumn("side", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = left.select("item", "node", "root", "signature", "side", other).select("item", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "root", "signature", "side")
-    missed = left.groupBy("item", "x", "y").applyInArrow(_across(matches), "a long, leader long").distinct()
-    missed = cut(missed.join(stars, ["a", "leader"], "left_anti"))
+    left = left.select("item", "node", "root", "signature", "wide", "lists", "side", other).select("item", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "root", "signature", "wide", "lists", "side")
+    missed = left.groupBy("item", "x", "y").applyInArrow(_across(matches, wide, percent), "a long, leader long").distinct()
+    missed = cut(missed.join(tried, ["a", "leader"], "left_anti"))
     more = cut(_verified(missed, texts, width, percent))
     if not more.isEmpty():
         roots = cut(connected_components(links.unionByName(more)))
@@ -237,13 +276,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _named(width: int):
-    sign = _signatures(width, 1)
+def _named(width: int, coordinates: int):
+    sign = _signatures(width, coordinates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = pa.concat_arrays([x["node"] for x in sign(iter([batch]))] or [pa.array([], pa.int64())])
-            yield pa.record_batch([node, batch["text"]], ["node", "text"])
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                found = list(sign(iter([batch])))
+                low = [pa.array([np.frombuffer(y.as_py(), np.uint64).astype(np.uint8).tobytes() for y in x["signature"]], pa.binary()) for x in found]
+                yield pa.record_batch([pa.concat_arrays([x["node"] for x in found]), batch["text"], pa.concat_arrays(low)], ["node", "text", "wide"])
 
     return run
 
