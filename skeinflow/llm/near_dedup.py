@@ -188,7 +188,7 @@ def _outsiders(posted: DataFrame, roots: DataFrame, seed: int, lists: int = 8) -
     return pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("leader")).distinct()
 
 
-def _across(matches: int, wide: int, percent: int):
+def _across(coordinates: int, matches: int, wide: int, percent: int):
     """Candidates across components in one block, or in two blocks, of a list.
 
     They agree in ``matches`` coordinates, and in as many of the wide signature's as
@@ -199,8 +199,8 @@ def _across(matches: int, wide: int, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         node, root, side = (table[c].to_numpy() for c in ("node", "root", "side"))
-        signature = _matrix(table["signature"])
         more = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint8).reshape(len(node), wide)
+        short = np.ascontiguousarray(more[:, :coordinates])  # the wide signature begins with the other one's coordinates
         item, lists = table["item"][0].as_py(), table["lists"].to_pylist()
         most = max(map(len, lists))
         lists = np.array([x + [_NONE] * (most - len(x)) for x in lists])
@@ -214,7 +214,7 @@ def _across(matches: int, wide: int, percent: int):
             if two:
                 other &= side != side[i]
             other = np.flatnonzero(other)
-            hit = other[(signature[other] == signature[i]).sum(axis=1) >= matches]
+            hit = other[(short[other] == short[i]).sum(axis=1) >= matches]
             hit = hit[(more[hit] == more[i]).sum(axis=1) >= least]
             # of the lists that both are in, the first one tells of the pair
             both = np.isin(lists[hit], lists[i]) & (lists[hit] != _NONE)
@@ -227,7 +227,7 @@ def _across(matches: int, wide: int, percent: int):
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 4096, star_rounds: int = 2, wide: int = 768) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 16_384, star_rounds: int = 2, wide: int = 768) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; see the module's text."""
     shards = partitions(docs)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -238,7 +238,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     posted = cut(dealt.cogroup(asked.groupBy("bucket")).applyInArrow(_post(shards, matches), "item long, node long"))
 
     active = posted.select(F.col("node").alias("active")).distinct()
-    named = nodes.join(active, F.col("node") == F.col("active")).select("node", "first_id", "signature")
+    named = nodes.join(active, F.col("node") == F.col("active")).select("node", "first_id")
     # several rows may have the id of a node's first document: the set tells them apart
     keyed = own.join(named.select(F.col("first_id").alias("fid")).distinct(), F.col("doc_id").eqNullSafe(F.col("fid"))).select("doc_id", "text")
     texts = cut(keyed.mapInArrow(_named(width, wide), "node long, text string, wide binary").dropDuplicates(["node"]))
@@ -257,12 +257,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     labelled = posted.join(roots, "node", "left").select("item", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high and n > 2")
-    left = labelled.join(mixed.select("item", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "item").join(named.select("node", "signature"), "node").join(texts.select("node", "wide"), "node")
+    left = labelled.join(mixed.select("item", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "item").join(texts.select("node", "wide"), "node")
     left = left.join(posted.groupBy("node").agg(F.collect_list("item").alias("lists")), "node")
     left = left.withColumn("side", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = left.select("item", "node", "root", "signature", "wide", "lists", "side", other).select("item", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "root", "signature", "wide", "lists", "side")
-    missed = left.groupBy("item", "x", "y").applyInArrow(_across(matches, wide, percent), "a long, leader long").distinct()
+    left = left.select("item", "node", "root", "wide", "lists", "side", other).select("item", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "root", "wide", "lists", "side")
+    missed = left.groupBy("item", "x", "y").applyInArrow(_across(coordinates, matches, wide, percent), "a long, leader long").distinct()
     missed = cut(missed.join(tried, ["a", "leader"], "left_anti"))
     more = cut(_verified(missed, texts, width, percent))
     if not more.isEmpty():
