@@ -79,9 +79,10 @@ class PatriciaTrie:
             child[0] = edge[same:]
             node[2][key[at]] = split
             node, at = split, at + same
-        if node[1] is None:
-            self._count(key, 0)
+        new = node[1] is None
         node[1] = self._merged(node[1], value)
+        if new:  # only now, as counting may write the node out
+            self._count(key, 0)
 
     def _count(self, key: bytes, size: int) -> None:
         if not key:
