@@ -61,23 +61,23 @@ def text_measures(docs: DataFrame, text: Column) -> DataFrame:
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     counts = [F.regexp_count(t, F.lit(p)) for p in CLASSES.values()]
-    ws = _words(t)
-    out = docs.withColumns({
+    ws = F.col("_ws")
+    out = docs.withColumn("_ws", _words(t)).withColumns({
         "n_words": F.size(ws).cast("long"),
         "word_chars": F.length(F.regexp_replace(t, _SPACES, "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _let(ws, _repeat_words),
+        "n_repeat_words": _repeat_words(ws),
         "classes": F.array(*counts),
     })
     rest = F.col("word_chars") - F.aggregate("classes", F.lit(0), lambda a, b: a + b)
-    return out.withColumn("classes", F.transform(F.concat("classes", F.array(rest.cast("int"))), lambda x: x.cast("double")))
+    return out.withColumn("classes", F.transform(F.concat("classes", F.array(rest.cast("int"))), lambda x: x.cast("double"))).drop("_ws")
 
 
 def _candidate_words(docs: DataFrame) -> DataFrame:
     """(lang, words): candidates for each language, and under a null language for all together."""
     found = docs.select("lang", F.explode(_words(F.lower(F.coalesce("text", F.lit(""))))).alias("w"))
-    tops = found.groupBy("lang").agg(F.expr(f"approx_top_k(w, {CANDIDATES}, {TRACKED})").alias("top"))
+    tops = cut(found.groupBy("lang").agg(F.expr(f"approx_top_k(w, {CANDIDATES}, {TRACKED})").alias("top")))
     each = tops.where("lang is not null").select("lang", F.array_sort(F.transform("top", lambda x: x["item"])).alias("words"))
     item = tops.select(F.explode("top").alias("x")).groupBy("x.item").agg(F.sum("x.count").alias("n"))
     pooled = item.orderBy(F.desc("n"), "item").limit(CANDIDATES).agg(F.array_sort(F.collect_list("item")).alias("words"))
