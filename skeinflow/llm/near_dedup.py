@@ -188,34 +188,39 @@ def _outsiders(posted: DataFrame, roots: DataFrame, seed: int, lists: int = 8) -
     return pairs.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("leader")).distinct()
 
 
-def _across(coordinates: int, matches: int, wide: int, percent: int):
+def _stars(roots: DataFrame) -> DataFrame:
+    """Edges that stand for all links so far, from which components settle in fewer rounds."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def _across(matches: int, wide: int, percent: int):
     """Candidates across components in one block, or in two blocks, of a list.
 
-    They agree in ``matches`` coordinates, and in as many of the wide signature's as
-    linked nodes do but for a chance of one in ten million (5.3 deviations).
+    They agree in ``matches`` coordinates, and in as many bits of the wide signature
+    as linked nodes do but for a chance of one in ten million (5.3 deviations).
     """
-    share = percent / 100
-    least = wide * share - 5.3 * (wide * share * (1 - share)) ** 0.5
+    share = (1 + percent / 100) / 2  # bits of different values agree half the time
+    most_apart = wide * (1 - share) + 5.3 * (wide * share * (1 - share)) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
         node, root, side = (table[c].to_numpy() for c in ("node", "root", "side"))
-        more = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint8).reshape(len(node), wide)
-        short = np.ascontiguousarray(more[:, :coordinates])  # the wide signature begins with the other one's coordinates
-        item, lists = table["item"][0].as_py(), table["lists"].to_pylist()
-        most = max(map(len, lists))
-        lists = np.array([x + [_NONE] * (most - len(x)) for x in lists])
+        short = np.ascontiguousarray(np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(node), -1).T)
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(node), -1)
+        item, column = table["item"][0].as_py(), table["lists"].combine_chunks()
+        counts = column.value_lengths().to_numpy()
+        lists = np.full((len(node), counts.max()), _NONE)
+        lists[np.arange(lists.shape[1]) < counts[:, None]] = column.flatten().to_numpy()
         a, b = [], []
-        names, counts = np.unique(root, return_counts=True)
-        rest = root != names[np.argmax(counts)]
-        left = np.flatnonzero(rest)
+        names, sizes = np.unique(root, return_counts=True)
+        rest = root != names[np.argmax(sizes)]
         two = side.max() > side.min()
-        for i in left:
+        for i in np.flatnonzero(rest):
             other = (root != root[i]) & (~rest | (node > node[i]))
             if two:
                 other &= side != side[i]
-            other = np.flatnonzero(other)
-            hit = other[(short[other] == short[i]).sum(axis=1) >= matches]
-            hit = hit[(more[hit] == more[i]).sum(axis=1) >= least]
+            other &= (short == short[:, i : i + 1]).sum(axis=0, dtype=np.uint8) >= matches
+            hit = np.flatnonzero(other)
+            hit = hit[np.bitwise_count(bits[hit] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most_apart]
             # of the lists that both are in, the first one tells of the pair
             both = np.isin(lists[hit], lists[i]) & (lists[hit] != _NONE)
             hit = hit[np.where(both, lists[hit], _NONE).min(axis=1, initial=_NONE) == item]
@@ -227,7 +232,7 @@ def _across(coordinates: int, matches: int, wide: int, percent: int):
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 16_384, star_rounds: int = 2, wide: int = 768) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 16_384, star_rounds: int = 1, wide: int = 1536) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; see the module's text."""
     shards = partitions(docs)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -241,32 +246,33 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     named = nodes.join(active, F.col("node") == F.col("active")).select("node", "first_id")
     # several rows may have the id of a node's first document: the set tells them apart
     keyed = own.join(named.select(F.col("first_id").alias("fid")).distinct(), F.col("doc_id").eqNullSafe(F.col("fid"))).select("doc_id", "text")
-    texts = cut(keyed.mapInArrow(_named(width, wide), "node long, text string, wide binary").dropDuplicates(["node"]))
+    texts = cut(keyed.mapInArrow(_named(width), "node long, text string").dropDuplicates(["node"]))
 
     leaders = posted.groupBy("item").agg(F.min("node").alias("leader"))
     tried = cut(posted.join(leaders, "item").where("node <> leader").select(F.col("node").alias("a"), "leader").distinct())
-    links = cut(_verified(tried, texts, width, percent))
-    roots = cut(connected_components(links))
+    roots = cut(connected_components(_verified(tried, texts, width, percent)))
     for seed in range(star_rounds):
         more = cut(_outsiders(posted, roots, seed).join(tried, ["a", "leader"], "left_anti"))
         if more.isEmpty():
             break
         tried = cut(tried.unionByName(more))
-        links = cut(links.unionByName(_verified(more, texts, width, percent)))
-        roots = cut(connected_components(links))
+        roots = cut(connected_components(_stars(roots).unionByName(_verified(more, texts, width, percent))))
 
     labelled = posted.join(roots, "node", "left").select("item", "node", F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high and n > 2")
-    left = labelled.join(mixed.select("item", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "item").join(texts.select("node", "wide"), "node")
+    left = labelled.join(mixed.select("item", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "item")
+    # only nodes of such lists need the wide signature
+    need = texts.join(left.select("node").distinct(), "node", "left_semi")
+    left = left.join(need.mapInArrow(_wide(width, coordinates, wide), "node long, short binary, bits binary"), "node")
     left = left.join(posted.groupBy("node").agg(F.collect_list("item").alias("lists")), "node")
     left = left.withColumn("side", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = left.select("item", "node", "root", "wide", "lists", "side", other).select("item", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "root", "wide", "lists", "side")
-    missed = left.groupBy("item", "x", "y").applyInArrow(_across(coordinates, matches, wide, percent), "a long, leader long").distinct()
+    left = left.select("item", "node", "root", "short", "bits", "lists", "side", other).select("item", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "root", "short", "bits", "lists", "side")
+    missed = left.groupBy("item", "x", "y").applyInArrow(_across(matches, wide, percent), "a long, leader long").distinct()
     missed = cut(missed.join(tried, ["a", "leader"], "left_anti"))
     more = cut(_verified(missed, texts, width, percent))
     if not more.isEmpty():
-        roots = cut(connected_components(links.unionByName(more)))
+        roots = cut(connected_components(_stars(roots).unionByName(more)))
 
     classes = nodes.join(roots, "node", "left").select("node", "check", "first_id", F.coalesce("root", "node").alias("root"))
     ids = classes.groupBy("root").agg(F.min("first_id").alias("component"))
@@ -276,16 +282,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _named(width: int, coordinates: int):
-    sign = _signatures(width, coordinates)
+def _named(width: int):
+    sign = _signatures(width, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.concat_arrays([x["node"] for x in sign(iter([batch]))]), batch["text"]], ["node", "text"])
+
+    return run
+
+
+def _wide(width: int, coordinates: int, wide: int):
+    """Of each text the low bytes of the first coordinates, and the low bits of ``wide`` coordinates."""
+    sign = _signatures(width, wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
-                found = list(sign(iter([batch])))
-                low = [pa.array([np.frombuffer(y.as_py(), np.uint64).astype(np.uint8).tobytes() for y in x["signature"]], pa.binary()) for x in found]
-                yield pa.record_batch([pa.concat_arrays([x["node"] for x in found]), batch["text"], pa.concat_arrays(low)], ["node", "text", "wide"])
+            for at in range(0, len(whole), 250):
+                part = whole.slice(at, 250)
+                for x in sign(iter([pa.record_batch([part["node"], part["text"]], ["doc_id", "text"])])):
+                    values = _matrix(x["signature"])
+                    short = values[:, :coordinates].astype(np.uint8)
+                    bits = np.packbits((values & np.uint64(1)).astype(np.uint8), axis=1)
+                    yield pa.record_batch([x["doc_id"], pa.array([y.tobytes() for y in short], pa.binary()), pa.array([y.tobytes() for y in bits], pa.binary())], ["node", "short", "bits"])
 
     return run
 
