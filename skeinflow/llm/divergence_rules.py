@@ -74,14 +74,15 @@ def text_measures(docs: DataFrame, text: Column) -> DataFrame:
     return out.withColumn("classes", F.transform(F.concat("classes", F.array(rest.cast("int"))), lambda x: x.cast("double"))).drop("_ws")
 
 
-def _candidate_words(docs: DataFrame) -> DataFrame:
-    """(lang, words): candidates for each language, and under a null language for all together."""
+def _candidate_words(docs: DataFrame, min_reference_words: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, words) of each language with a reference of its own, and the one row (pooled, pooled_counts) of all documents."""
     found = docs.select("lang", F.explode(_words(F.lower(F.coalesce("text", F.lit(""))))).alias("w"))
-    tops = cut(found.groupBy("lang").agg(F.expr(f"approx_top_k(w, {CANDIDATES}, {TRACKED})").alias("top")))
-    each = tops.where("lang is not null").select("lang", F.array_sort(F.transform("top", lambda x: x["item"])).alias("words"))
-    item = tops.select(F.explode("top").alias("x")).groupBy("x.item").agg(F.sum("x.count").alias("n"))
-    pooled = item.orderBy(F.desc("n"), "item").limit(CANDIDATES).agg(F.array_sort(F.collect_list("item")).alias("words"))
-    return each.unionByName(pooled.select(F.lit(None).cast("string").alias("lang"), "words"))
+    tops = cut(found.groupBy("lang").agg(F.expr(f"approx_top_k(w, {CANDIDATES}, {TRACKED})").alias("top"), F.count("*").alias("ref_words")))
+    each = tops.where((F.col("lang").isNotNull()) & (F.col("ref_words") >= min_reference_words)).select("lang", F.array_sort(F.transform("top", lambda x: x["item"])).alias("words"))
+    item = tops.select(F.explode("top").alias("x")).groupBy("x.item").agg(F.sum("x.count").alias("n")).orderBy(F.desc("n"), "item").limit(CANDIDATES).select("item")
+    exact = found.join(F.broadcast(item), F.col("w") == F.col("item")).groupBy("w").agg(F.count("*").cast("double").alias("n"))
+    pooled = exact.agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("all"))
+    return each, cut(pooled.select(F.col("all.w").alias("pooled"), F.col("all.n").alias("pooled_counts")))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -96,32 +97,33 @@ def _distance(p: Column, q: Column) -> Column:
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_words: int = 50, max_class_distance: float = 0.3, max_word_distance: float = 0.4, min_reference_words: int = 10_000) -> DataFrame:
     """doc_id, the measures, base_failed, kept, both distances, text_key (hash of the text); see the module's text."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    words = _candidate_words(own).withColumnRenamed("lang", "known")
-    pooled = words.where("known is null").select(F.col("words").alias("pooled"))
+    words, pooled = _candidate_words(own, min_reference_words)
+    words = words.withColumnRenamed("lang", "known")
     named = own.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(words), own.lang == F.col("known"), "left").drop("known")
-    counted = text_measures(named, F.col("text")).join(F.broadcast(pooled), F.lit(True), "left")
+    counted = text_measures(named, F.col("text")).join(F.broadcast(pooled.select("pooled")), F.lit(True), "left")
     low = _words(F.lower(F.coalesce("text", F.lit(""))))
     tally = lambda words: _let(low, lambda ws: F.transform(words, lambda c: (F.size(ws) - F.size(F.array_remove(ws, c))).cast("double")))
     counted = counted.withColumn("counts", tally(F.coalesce("words", "pooled")))
     slim = cut(counted.select("doc_id", "text_key", "lang", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "counts"))
-    return _judged(slim, min_words, max_class_distance, max_word_distance, min_reference_words)
+    return _judged(slim, pooled, min_words, max_class_distance, max_word_distance)
 
 
-def _judged(slim: DataFrame, min_words: int, max_class_distance: float, max_word_distance: float, min_reference_words: int) -> DataFrame:
+def _judged(slim: DataFrame, pooled: DataFrame, min_words: int, max_class_distance: float, max_word_distance: float) -> DataFrame:
     n_classes = len(CLASSES) + 1
     group = F.when(F.col("words").isNotNull(), F.col("lang"))
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.coalesce(F.get("counts", F.lit(i)), F.lit(0.0))).alias(f"w{i}") for i in range(CANDIDATES)]
     totals = slim.groupBy(group.alias("ref_lang")).agg(F.sum("n_words").alias("ref_words"), *sums)
-    everyone = slim.agg(F.sum("n_words").alias("all_words"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)]).select(F.array(*[f"c{i}" for i in range(n_classes)]).alias("all_classes"))
-    refs = totals.select("ref_lang", "ref_words", F.array(*[f"c{i}" for i in range(n_classes)]).alias("ref_classes"), F.array(*[f"w{i}" for i in range(CANDIDATES)]).alias("ref_counts"))
+    classes = F.array(*[f"c{i}" for i in range(n_classes)])
+    refs = totals.where("ref_lang is not null").select("ref_lang", "ref_words", classes.alias("ref_classes"), F.array(*[f"w{i}" for i in range(CANDIDATES)]).alias("ref_counts"))
+    everyone = totals.agg(F.sum("ref_words").alias("ref_words"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(n_classes)])
+    refs = refs.unionByName(everyone.join(F.broadcast(pooled), F.lit(True)).select(F.lit(None).cast("string").alias("ref_lang"), "ref_words", classes.alias("ref_classes"), F.col("pooled_counts").alias("ref_counts")))
     rank = F.array_sort(F.transform("ref_counts", lambda x, i: F.struct((-x).alias("n"), i.alias("i"))))
     refs = refs.withColumn("picked", F.transform(F.slice(rank, 1, COMMON), lambda x: x["i"]))
-    got = slim.join(F.broadcast(refs), group.eqNullSafe(F.col("ref_lang")), "left").join(F.broadcast(everyone), F.lit(True), "left")
+    got = slim.join(F.broadcast(refs), group.eqNullSafe(F.col("ref_lang")), "left")
     pick = lambda counts, n: _let(F.transform("picked", lambda i: F.coalesce(F.get(counts, i), F.lit(0.0))), lambda a: F.concat(a, F.array(F.greatest(n - F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))))
-    small = F.col("ref_lang").isNull() | (F.col("ref_words") < min_reference_words)
     out = got.withColumns({
-        "class_distance": _distance(F.col("classes"), F.when(small, F.col("all_classes")).otherwise(F.col("ref_classes"))),
-        "word_distance": F.when(small & F.col("ref_lang").isNotNull(), F.lit(0.0)).otherwise(_distance(pick(F.col("counts"), F.col("n_words").cast("double")), pick(F.col("ref_counts"), F.col("ref_words").cast("double")))),
+        "class_distance": _distance(F.col("classes"), F.col("ref_classes")),
+        "word_distance": _distance(pick(F.col("counts"), F.col("n_words").cast("double")), pick(F.col("ref_counts"), F.col("ref_words").cast("double"))),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
     off = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance))

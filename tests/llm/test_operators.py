@@ -203,6 +203,28 @@ def test_quality_measures(docs, rows):
         assert g.base_failed == (len(ws) < 20 or 100 * len(cover) > 30 * len(ws)) and (g.kept is not None) and not (g.kept and g.base_failed)
 
 
+def test_words_of_small_and_null_languages_are_compared_to_all_documents(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(["the", "of", "and", "to"] + [f"w{k}" for k in range(12)]) for _ in range(100))
+    rows = [(i, text(), "en") for i in range(120)] + [(i, text(), lang) for i, lang in enumerate(["fr", "fr", None, "de"], 200)] + [(300, "zig zag " * 60, "fr"), (301, "zog zug " * 60, None)]
+    got = {r.doc_id: r for r in divergence_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    total = Counter(w for r in rows for w in words(r[1]))
+    picked = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:16]]
+
+    def share(n):
+        a = [n[w] for w in picked]
+        return np.array([*a, n.total() - sum(a)]) / n.total()
+
+    def part(x, m):
+        return float(sum(a * np.log2(a / b) for a, b in zip(x, m) if a > 0))
+
+    q = share(total)
+    for i, t, lang in rows[120:]:
+        p = share(Counter(words(t)))
+        assert abs(got[i].word_distance - np.sqrt((part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2)) < 1e-9
+    assert got[300].word_distance > 0.4 and got[301].word_distance > 0.4 and not got[300].kept and not got[301].kept
+
+
 def test_mixing_targets_quotas_and_draws(docs, rows):
     goal = mixing.targets([100, 10, 0, 1000], [1, 2, 3, 1])
     assert abs(sum(goal) - 1110) < 1e-9 and goal[1] == 30 and goal[2] == 0 and goal[0] == 300
