@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinflow.llm import bpe, divergence_rules, mixing, near_dedup, trie_dedup
+from skeinflow.llm.session import cut
 
 
 def _without(docs: DataFrame, gone: DataFrame, key) -> DataFrame:
@@ -12,6 +15,13 @@ def _without(docs: DataFrame, gone: DataFrame, key) -> DataFrame:
     return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
 
 
+def _once(docs: DataFrame, twice: DataFrame, key) -> DataFrame:
+    """docs with a single row of each (doc_id, key) in twice (twice_id, twice_key)."""
+    keyed = docs.withColumn("_key", key)
+    same = F.col("doc_id").eqNullSafe(F.col("twice_id")) & (F.col("_key") == F.col("twice_key"))
+    return keyed.join(twice, same, "left_anti").unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     verdicts = divergence_rules.quality_verdicts(docs)
@@ -20,20 +30,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts stays; of rows with equal or null ids only those of that text go."""
     groups = trie_dedup.exact_duplicates(docs)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")), "left_anti")
-    twice = groups.where(F.col("kept") & (F.col("group_size") > 1)).groupBy(F.col("doc_id").alias("twice_id")).count().where("count > 1").select("twice_id")
-    same = left.doc_id.eqNullSafe(F.col("twice_id"))
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    key = F.sha2(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), 256)
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_key")).distinct()
+    kept = groups.where(F.col("kept") & (F.col("group_size") > 1))
+    twice = kept.groupBy(F.col("doc_id").alias("twice_id"), F.col("text_sha256").alias("twice_key")).count().where("count > 1").drop("count")
+    return _once(_without(docs, gone, key), twice, key)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate component stays."""
-    classes = near_dedup.near_duplicate_classes(docs)
-    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone_id")), "left_anti")
+    """The document of smallest id of each near-duplicate component stays; if several of its rows have that id, or all have none, one of them."""
+    classes = cut(near_dedup.near_duplicate_classes(docs))
+    key = F.xxhash64(F.col("text"))
+    kept = classes.where(F.col("kept") & F.col("root").isNotNull())
+    several = kept.groupBy("root").agg(F.min("text_key").alias("first_key"), F.count("*").alias("n")).where("n > 1")
+    others = kept.join(several, "root")
+    gone = classes.where(~F.col("kept")).unionByName(others.where("text_key <> first_key").select(classes.columns))
+    left = _without(docs, gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), key)
+    return _once(left, others.where("text_key = first_key").select(F.col("doc_id").alias("twice_id"), F.col("text_key").alias("twice_key")).distinct(), key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,7 @@ def _signatures(width: int, coordinates: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own = [c for c in batch.schema.names if c != "text"]
             for row, values, offsets in _sets(batch["text"], width):
                 n = np.diff(offsets)
                 full = np.flatnonzero(n)
@@ -93,8 +94,8 @@ def _signatures(width: int, coordinates: int):
                         least = np.minimum.reduceat(values * odd[2 * k] + odd[2 * k + 1], begin)
                         signature[full, k] = mix(least + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
                 yield pa.record_batch(
-                    [batch["doc_id"].slice(row, len(n)), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in signature], pa.binary())],
-                    ["doc_id", "n_shingles", "node", "check", "signature"],
+                    [*(batch[c].slice(row, len(n)) for c in own), pa.array(n, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in signature], pa.binary())],
+                    [*own, "n_shingles", "node", "check", "signature"],
                 )
 
     return run
@@ -233,10 +234,11 @@ def _across(matches: int, wide: int, percent: int):
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = 16_384, star_rounds: int = 1, wide: int = 1536) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept; see the module's text."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key (hash of the text), root (the component, null without words); see the module's text."""
     shards = partitions(docs)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(own.mapInArrow(_signatures(width, coordinates), "doc_id long, n_shingles long, node long, check long, signature binary"))
+    keyed = own.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = cut(keyed.mapInArrow(_signatures(width, coordinates), "doc_id long, text_key long, n_shingles long, node long, check long, signature binary"))
     nodes = rows.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
     dealt = nodes.select(F.pmod("node", F.lit(2 * shards)).cast("int").alias("bucket"), "node", "signature").groupBy("bucket")
     asked = dealt.applyInArrow(_ask(shards), "shard int, bucket int, body binary").groupBy("shard").applyInArrow(_frequencies, "bucket int, shard int, body binary")
@@ -276,10 +278,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     classes = nodes.join(roots, "node", "left").select("node", "check", "first_id", F.coalesce("root", "node").alias("root"))
     ids = classes.groupBy("root").agg(F.min("first_id").alias("component"))
-    known = classes.join(ids, "root").select(F.col("node").alias("known_node"), F.col("check").alias("known_check"), "component")
+    known = classes.join(ids, "root").select(F.col("node").alias("known_node"), F.col("check").alias("known_check"), "component", "root")
     found = rows.drop("signature").join(known, (F.col("node") == F.col("known_node")) & (F.col("check") == F.col("known_check")), "left")
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", "root")
 
 
 def _named(width: int):
@@ -310,7 +312,7 @@ def _wide(width: int, coordinates: int, wide: int):
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key", "root")
 
 
 SQL = r"""

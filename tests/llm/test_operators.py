@@ -278,3 +278,18 @@ def test_pipeline_keeps_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() > 0
+
+
+def test_dedup_stages_drop_rows_not_ids(spark):
+    import corpus_pipeline
+
+    text = lambda seed: " ".join(f"{seed}w{k}" for k in range(60))
+    rows = [(3, text("a")), (5, text("a").upper()), (5, text("b")), (None, text("a")), (None, text("c")), (None, text("d")), (None, text("d")), (7, text("e")), (7, text("E")), (8, text("f")), (8, text("f")), (8, text("g")), (4, text("g")), (None, None), (9, ""), (9, "")]
+    stay = lambda stage, rows: sorted(((r.doc_id, r.text and low(r.text)) for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()), key=str)
+    want = [(3, "a"), (5, "b"), (None, "c"), (None, "d"), (7, "e"), (8, "f"), (4, "g")]
+    want = [(i, text(t)) for i, t in want]
+    assert stay(corpus_pipeline.exact_dedup, rows) == sorted([*want, (9, "")], key=str)
+    assert stay(corpus_pipeline.near_dedup_stage, rows) == sorted([*want, (None, None), (9, ""), (9, "")], key=str)
+    near = [(1, text("h")), (2, text("h") + " more"), (2, text("i")), (6, text("j")), (6, text("j") + " more"), (None, text("k")), (None, text("k") + " more"), (None, text("h") + " end"), (None, text("m"))]
+    got = stay(corpus_pipeline.near_dedup_stage, near)
+    assert len(got) == 5 and {(i, t[0]) for i, t in got} == {(1, "h"), (2, "i"), (6, "j"), (None, "k"), (None, "m")}
