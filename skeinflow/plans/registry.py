@@ -311,6 +311,12 @@ def day_gaps(spark, sf_dir):
     return lake.day_gaps(_t(spark, sf_dir, "orders").where("o_custkey % 7 = 0"), F.col("o_orderdate"))
 
 
+@query("WITH d AS (SELECT DISTINCT c_nationkey, o_orderdate::DATE AS d FROM orders JOIN customer ON c_custkey = o_custkey), b AS (SELECT date_trunc('month', min(d))::DATE AS a, last_day(max(d)) AS z FROM d), m AS (SELECT c_nationkey AS k, m FROM (SELECT DISTINCT c_nationkey FROM d), (SELECT unnest(generate_series(a, z, INTERVAL 1 MONTH))::DATE AS m FROM b)), h AS (SELECT c_nationkey, year(d) AS year, month(d) AS month, count(*) AS days FROM d GROUP BY ALL) SELECT k AS c_nationkey, year(m)::INTEGER AS year, month(m)::INTEGER AS month, coalesce(days, 0) AS days, day(last_day(m)) - coalesce(days, 0) AS missing FROM m LEFT JOIN h ON h.c_nationkey = k AND h.year = year(m) AND h.month = month(m) WHERE coalesce(days, 0) < day(last_day(m)) - 1")
+def day_gaps_by_nation(spark, sf_dir):
+    d = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return lake.day_gaps(d, F.col("o_orderdate"), ["c_nationkey"])
+
+
 @query("SELECT l_returnflag, l_linestatus, variable, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT l_returnflag, l_linestatus, unnest(['quantity', 'discount', 'tax']) AS variable, unnest([l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE]) AS value FROM lineitem) WHERE value IS NOT NULL GROUP BY ALL")
 def wide_to_long(spark, sf_dir):
     d = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", *[F.col(f"l_{c}").cast("double").alias(c) for c in ("quantity", "discount", "tax")])

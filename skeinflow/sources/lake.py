@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -79,14 +80,16 @@ def floor_match(key: Column, label: Column, keys: list[int], names: list[str]) -
     return F.coalesce(key.isin(keys), F.lit(False)) | F.coalesce(plain.isin(names), F.lit(False))
 
 
-def day_gaps(df: DataFrame, day: Column) -> DataFrame:
-    """(year, month, days, missing) of months that lack more than one of their days, between the first and last day."""
-    days = df.select(F.to_date(day).alias("d")).where("d is not null").distinct()
+def day_gaps(df: DataFrame, day: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """(year, month, days, missing) of months that lack more than one of their days, between the first and last day of the table; with ``keys``, for each of their values."""
+    days = df.select(*keys, F.to_date(day).alias("d")).where("d is not null").distinct()
     span = days.agg(F.trunc(F.min("d"), "month").alias("a"), F.last_day(F.max("d")).alias("b"))
     months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m")).select(F.year("m").alias("year"), F.month("m").alias("month"), F.dayofmonth(F.last_day("m")).alias("length"))
-    held = days.groupBy(F.year("d").alias("year"), F.month("d").alias("month")).agg(F.count("*").alias("days"))
-    out = months.join(held, ["year", "month"], "left").withColumn("days", F.coalesce("days", F.lit(0)))
-    return out.where(F.col("days") < F.col("length") - 1).select("year", "month", "days", (F.col("length") - F.col("days")).alias("missing"))
+    held = days.groupBy(*keys, F.year("d").alias("year"), F.month("d").alias("month")).agg(F.count("*").alias("days"))
+    if keys:
+        months = days.select(*keys).distinct().crossJoin(F.broadcast(months))
+    out = months.join(held, [*keys, "year", "month"], "left").withColumn("days", F.coalesce("days", F.lit(0)))
+    return out.where(F.col("days") < F.col("length") - 1).select(*keys, "year", "month", "days", (F.col("length") - F.col("days")).alias("missing"))
 
 
 def first_version(df: DataFrame, keys: list[str], order: str, keep: int) -> DataFrame:

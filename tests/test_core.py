@@ -124,6 +124,17 @@ def test_lake_replaces_touched_partitions_and_refuses_strangers(spark, tmp_path)
     assert spark.read.parquet(f"{tmp_path}/_manifests").count() == 2
 
 
+def test_day_gaps_by_nation_reads_all_orders(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey", F.to_date("o_orderdate").alias("d")).collect()
+    nation = {r.c_custkey: r.c_nationkey for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    held = {(nation[r.o_custkey], r.d) for r in orders}
+    got = {(r.c_nationkey, r.year, r.month): r.days for r in registry.QUERIES["day_gaps_by_nation"](spark, SF).collect()}
+    assert got and sum(got.values()) == sum((n, d.year, d.month) in got for n, d in held)
+    first, last = min(d for _, d in held), max(d for _, d in held)
+    months = (last.year - first.year) * 12 + last.month - first.month + 1
+    assert len({n for n, _ in held}) * months - len(got) == len({(n, d.year, d.month) for n, d in held} - set(got))
+
+
 def test_moran_is_high_for_a_smooth_field_and_low_for_a_checkerboard(spark):
     grid = lambda f: spark.createDataFrame([(r, c, float(f(r, c))) for r in range(8) for c in range(8)], "r int, c int, v double")
     assert inference.morans_i(grid(lambda r, c: r + c), "r", "c", "v").first().morans_i > 0.5
