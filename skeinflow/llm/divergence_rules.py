@@ -6,10 +6,16 @@ its language's by Jensen-Shannon distance (square root of the divergence in bits
 are candidates of a mergeable frequent-items sketch, ranked by exact counts.
 
 A document fails if its class distance exceeds ``max_class_distance`` or its
-common-word distance exceeds ``max_word_distance``; each verdict holds only for
+common-word distance exceeds ``word_limit``; each verdict holds only for
 documents of ``min_words`` words or more, as short texts scatter. Base rules come
 first: fewer than 20 words, or over 30 % of words in repeated 8-word windows.
 
+``word_limit`` is ``max_word_distance`` or, if less, ``lacking_fraction`` of the
+distance that a document without any common word of its language has. The latter
+holds only where a text as long would lack them all by chance less often than
+``max_chance``, and not against the reference of all documents, whose common words
+a language of its own may well lack.
+
 Cases: null text counts as empty; documents without a language, or of one with
 fewer than ``min_reference_words`` words, are compared to all documents together;
 a null id is kept as it is; an empty table gives an empty result; columns other
@@ -94,8 +100,8 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total(terms), F.lit(0.0)))
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_words: int = 50, max_class_distance: float = 0.3, max_word_distance: float = 0.4, min_reference_words: int = 10_000) -> DataFrame:
-    """doc_id, the measures, base_failed, kept, both distances, text_key (hash of the text); see the module's text."""
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, min_words: int = 50, max_class_distance: float = 0.3, max_word_distance: float = 0.4, min_reference_words: int = 10_000, lacking_fraction: float = 0.95, max_chance: float = 1e-3) -> DataFrame:
+    """doc_id, the measures, base_failed, kept, both distances, word_limit, text_key (hash of the text); see the module's text."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     words, pooled = _candidate_words(own, min_reference_words)
     words = words.withColumnRenamed("lang", "known")
@@ -105,10 +111,10 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tally = lambda words: _let(low, lambda ws: F.transform(words, lambda c: (F.size(ws) - F.size(F.array_remove(ws, c))).cast("double")))
     counted = counted.withColumn("counts", tally(F.coalesce("words", "pooled")))
     slim = cut(counted.select("doc_id", "text_key", "lang", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "counts"))
-    return _judged(slim, pooled, min_words, max_class_distance, max_word_distance)
+    return _judged(slim, pooled, min_words, max_class_distance, max_word_distance, lacking_fraction, max_chance)
 
 
-def _judged(slim: DataFrame, pooled: DataFrame, min_words: int, max_class_distance: float, max_word_distance: float) -> DataFrame:
+def _judged(slim: DataFrame, pooled: DataFrame, min_words: int, max_class_distance: float, max_word_distance: float, lacking_fraction: float, max_chance: float) -> DataFrame:
     n_classes = len(CLASSES) + 1
     group = F.when(F.col("words").isNotNull(), F.col("lang"))
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.coalesce(F.get("counts", F.lit(i)), F.lit(0.0))).alias(f"w{i}") for i in range(CANDIDATES)]
@@ -119,15 +125,20 @@ def _judged(slim: DataFrame, pooled: DataFrame, min_words: int, max_class_distan
     refs = refs.unionByName(everyone.join(F.broadcast(pooled), F.lit(True)).select(F.lit(None).cast("string").alias("ref_lang"), "ref_words", classes.alias("ref_classes"), F.col("pooled_counts").alias("ref_counts")))
     rank = F.array_sort(F.transform("ref_counts", lambda x, i: F.struct((-x).alias("n"), i.alias("i"))))
     refs = refs.withColumn("picked", F.transform(F.slice(rank, 1, COMMON), lambda x: x["i"]))
-    got = slim.join(F.broadcast(refs), group.eqNullSafe(F.col("ref_lang")), "left")
     pick = lambda counts, n: _let(F.transform("picked", lambda i: F.coalesce(F.get(counts, i), F.lit(0.0))), lambda a: F.concat(a, F.array(F.greatest(n - F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))))
+    refs = refs.withColumn("ref_picked", pick(F.col("ref_counts"), F.col("ref_words").cast("double")))
+    lacking = F.concat(F.transform("picked", lambda i: F.lit(0.0)), F.array(F.lit(1.0)))
+    refs = refs.withColumns({"lacking": _distance(lacking, F.col("ref_picked")), "rest": F.try_divide(F.element_at("ref_picked", -1), F.col("ref_words"))})
+    got = slim.join(F.broadcast(refs), group.eqNullSafe(F.col("ref_lang")), "left")
+    telling = F.col("ref_lang").isNotNull() & (F.pow("rest", F.col("n_words").cast("double")) < max_chance)
     out = got.withColumns({
         "class_distance": _distance(F.col("classes"), F.col("ref_classes")),
-        "word_distance": _distance(pick(F.col("counts"), F.col("n_words").cast("double")), pick(F.col("ref_counts"), F.col("ref_words").cast("double"))),
+        "word_distance": _distance(pick(F.col("counts"), F.col("n_words").cast("double")), F.col("ref_picked")),
+        "word_limit": F.when(telling, F.least(F.lit(max_word_distance), lacking_fraction * F.col("lacking"))).otherwise(F.lit(max_word_distance)),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
-    off = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~off).alias("kept"), "class_distance", "word_distance", "text_key")
+    off = (F.col("n_words") >= min_words) & ((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > F.col("word_limit")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~off).alias("kept"), "class_distance", "word_distance", "word_limit", "text_key")
 
 
 def op7_divergence_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
@@ -225,6 +226,21 @@ def test_words_of_small_and_null_languages_are_compared_to_all_documents(spark):
     assert got[300].word_distance > 0.4 and got[301].word_distance > 0.4 and not got[300].kept and not got[301].kept
 
 
+def test_document_without_common_words_fails_the_word_rule(spark):
+    rng = random.Random(6)
+    common = ["the", "of", "and", "to", *(f"c{k}" for k in range(12))]
+    text = lambda share: " ".join(rng.choice(common) if rng.random() < share else f"w{rng.randrange(500)}" for _ in range(100))
+    rows = [(i, text(0.21), "en") for i in range(120)] + [(i, text(0.002), "zh") for i in range(200, 320)] + [(400, text(0.0), "en"), (401, text(0.0), "zh"), (402, text(0.21), None)]
+    got = {r.doc_id: r for r in divergence_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    total = Counter(w for r in rows if r[2] == "en" for w in words(r[1]))
+    s = sum(n for _, n in total.most_common(16)) / total.total()
+    lacking = math.sqrt((math.log2(2 / (2 - s)) + s + (1 - s) * math.log2(2 * (1 - s) / (2 - s))) / 2)
+    r = got[400]
+    assert abs(r.word_limit - 0.95 * lacking) < 1e-9 and lacking < 0.4 and abs(r.word_distance - lacking) < 1e-9
+    assert not r.kept and not r.base_failed and r.class_distance <= 0.3
+    assert all(x.kept for i, x in got.items() if i != 400) and got[401].word_limit == got[402].word_limit == 0.4
+
+
 def test_mixing_targets_quotas_and_draws(docs, rows):
     goal = mixing.targets([100, 10, 0, 1000], [1, 2, 3, 1])
     assert abs(sum(goal) - 1110) < 1e-9 and goal[1] == 30 and goal[2] == 0 and goal[0] == 300
