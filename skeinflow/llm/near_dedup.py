@@ -126,7 +126,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
 def _post(shards: int, matches: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
-            return pa.table({"item": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+            return pa.table({"item": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "weight": pa.array([], pa.int64())})
         matrix = _matrix(table["signature"])
         items, inverse = np.unique(matrix.ravel(), return_inverse=True)
         total = np.zeros(len(items), np.int64)
@@ -137,8 +137,10 @@ def _post(shards: int, matches: int):
         order = np.lexsort((matrix, often))[:, : matrix.shape[1] - matches + 1]
         rows = np.arange(len(matrix))[:, None]
         use = (often[rows, order] > 1) & ((often > 1).sum(axis=1) >= matches)[:, None]
-        node = np.broadcast_to(table["node"].to_numpy()[:, None], order.shape)
-        return pa.table({"item": matrix[rows, order][use].view(np.int64), "node": node[use]})
+        # nodes like many others have often seen values: the less is left over, the nearer to what its group has in common
+        weight = np.log2(often).sum(axis=1).astype(np.int64)
+        node, weight = (np.broadcast_to(x[:, None], order.shape) for x in (table["node"].to_numpy(), weight))
+        return pa.table({"item": matrix[rows, order][use].view(np.int64), "node": node[use], "weight": weight[use]})
 
     return run
 
@@ -198,7 +200,9 @@ def _across(matches: int, wide: int, percent: int):
     """Candidates across components in one block, or in two blocks, of a list.
 
     They agree in ``matches`` coordinates, and in as many bits of the wide signature
-    as linked nodes do but for a chance of one in ten million (5.3 deviations).
+    as linked nodes do but for a chance of one in ten million (5.3 deviations). Of
+    these the short hashes of the sets are counted, with room for two collisions; what
+    is left goes to the comparison of full sets.
     """
     share = (1 + percent / 100) / 2  # bits of different values agree half the time
     most_apart = wide * (1 - share) + 5.3 * (wide * share * (1 - share)) ** 0.5
@@ -207,6 +211,8 @@ def _across(matches: int, wide: int, percent: int):
         node, root, side = (table[c].to_numpy() for c in ("node", "root", "side"))
         short = np.ascontiguousarray(np.frombuffer(b"".join(table["short"].to_pylist()), np.uint8).reshape(len(node), -1).T)
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint32) for x in table["hashes"].to_pylist()]
+        sizes_of = np.array([len(x) for x in sets])
         item, column = table["item"][0].as_py(), table["lists"].combine_chunks()
         counts = column.value_lengths().to_numpy()
         lists = np.full((len(node), counts.max()), _NONE)
@@ -225,6 +231,11 @@ def _across(matches: int, wide: int, percent: int):
             # of the lists that both are in, the first one tells of the pair
             both = np.isin(lists[hit], lists[i]) & (lists[hit] != _NONE)
             hit = hit[np.where(both, lists[hit], _NONE).min(axis=1, initial=_NONE) == item]
+            if len(hit):
+                values, sizes, own = np.concatenate([sets[k] for k in hit]), sizes_of[hit], sets[i]
+                found = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                common = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes) + 2
+                hit = hit[100 * common >= percent * (sizes + len(own) - common)]
             a.append(np.maximum(node[hit], node[i]))
             b.append(np.minimum(node[hit], node[i]))
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -242,7 +253,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nodes = rows.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
     dealt = nodes.select(F.pmod("node", F.lit(2 * shards)).cast("int").alias("bucket"), "node", "signature").groupBy("bucket")
     asked = dealt.applyInArrow(_ask(shards), "shard int, bucket int, body binary").groupBy("shard").applyInArrow(_frequencies, "bucket int, shard int, body binary")
-    posted = cut(dealt.cogroup(asked.groupBy("bucket")).applyInArrow(_post(shards, matches), "item long, node long"))
+    posted = cut(dealt.cogroup(asked.groupBy("bucket")).applyInArrow(_post(shards, matches), "item long, node long, weight long"))
 
     active = posted.select(F.col("node").alias("active")).distinct()
     named = nodes.join(active, F.col("node") == F.col("active")).select("node", "first_id")
@@ -250,7 +261,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     keyed = own.join(named.select(F.col("first_id").alias("fid")).distinct(), F.col("doc_id").eqNullSafe(F.col("fid"))).select("doc_id", "text")
     texts = cut(keyed.mapInArrow(_named(width), "node long, text string").dropDuplicates(["node"]))
 
-    leaders = posted.groupBy("item").agg(F.min("node").alias("leader"))
+    leaders = posted.groupBy("item").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
     tried = cut(posted.join(leaders, "item").where("node <> leader").select(F.col("node").alias("a"), "leader").distinct())
     roots = cut(connected_components(_verified(tried, texts, width, percent)))
     for seed in range(star_rounds):
@@ -265,11 +276,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     left = labelled.join(mixed.select("item", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "item")
     # only nodes of such lists need the wide signature
     need = texts.join(left.select("node").distinct(), "node", "left_semi")
-    left = left.join(need.mapInArrow(_wide(width, coordinates, wide), "node long, short binary, bits binary"), "node")
+    left = left.join(need.mapInArrow(_wide(width, coordinates, wide), "node long, short binary, bits binary, hashes binary"), "node")
     left = left.join(posted.groupBy("node").agg(F.collect_list("item").alias("lists")), "node")
     left = left.withColumn("side", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    left = left.select("item", "node", "root", "short", "bits", "lists", "side", other).select("item", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "root", "short", "bits", "lists", "side")
+    left = left.select("item", "node", "root", "short", "bits", "hashes", "lists", "side", other).select("item", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "root", "short", "bits", "hashes", "lists", "side")
     missed = left.groupBy("item", "x", "y").applyInArrow(_across(matches, wide, percent), "a long, leader long").distinct()
     missed = cut(missed.join(tried, ["a", "leader"], "left_anti"))
     more = cut(_verified(missed, texts, width, percent))
@@ -295,18 +306,24 @@ def _named(width: int):
 
 
 def _wide(width: int, coordinates: int, wide: int):
-    """Of each text the low bytes of the first coordinates, and the low bits of ``wide`` coordinates."""
+    """Of each text the low bytes of the first coordinates, the low bits of ``wide`` coordinates, and 32-bit hashes of its set."""
     sign = _signatures(width, wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 250):
                 part = whole.slice(at, 250)
+                hashes: list[bytes] = []
+                for _, values, offsets in _sets(part["text"], width):
+                    small = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    hashes += [np.unique(small[x:y]).tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+                done = 0
                 for x in sign(iter([pa.record_batch([part["node"], part["text"]], ["doc_id", "text"])])):
                     values = _matrix(x["signature"])
                     short = values[:, :coordinates].astype(np.uint8)
                     bits = np.packbits((values & np.uint64(1)).astype(np.uint8), axis=1)
-                    yield pa.record_batch([x["doc_id"], pa.array([y.tobytes() for y in short], pa.binary()), pa.array([y.tobytes() for y in bits], pa.binary())], ["node", "short", "bits"])
+                    yield pa.record_batch([x["doc_id"], pa.array([y.tobytes() for y in short], pa.binary()), pa.array([y.tobytes() for y in bits], pa.binary()), pa.array(hashes[done : done + len(x)], pa.binary())], ["node", "short", "bits", "hashes"])
+                    done += len(x)
 
     return run
 
