@@ -4,62 +4,101 @@ A task cuts its texts by the pattern and encodes its distinct pieces, some
 thousands at a time: rows (piece, position, token) join the table of merges, and
 each round contracts every piece's leftmost pair of least rank, until no pair is
 left; ordered aggregation gives the tokens and, back through the vocabulary, the
-bytes. Pieces that are tokens themselves need no rounds. A piece of more than
-``LONG_PIECE`` bytes would take as many rounds; those alone go through a heap that
-makes the same merges in the same order.
+bytes. Only the rows of a piece's last state leave the recursion.
 
-A worker keeps up to ``CACHE_PIECES`` encoded pieces; what falls out is encoded
-again, so the bound costs time only.
+A round contracts one pair of each piece, so a long piece goes through the query in
+slices of ``SLICE`` bytes. Tokens next to each other that encode to themselves
+together are tokens of the whole, whatever lies around; where two slices meet in
+tokens that do not, the tokens around that place are encoded again as one string,
+and more of them each time, until all neighbours fit.
+
+A task keeps up to ``CACHE_PIECES`` encoded pieces, those seen last; what falls out
+is encoded again, so the bound costs time only.
 
 Cases: null text counts as empty and has no tokens; special tokens have no meaning
-in texts; an empty table gives an empty result; repeated rows and null ids are
-rows like others; columns other than id and text are not looked at.
+in texts; a text of any length is cut once, its pieces are looked up one by one; an
+empty table gives an empty result; repeated rows and null ids are rows like others;
+ties of rank go to the leftmost pair; columns other than id and text are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import re
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-LONG_PIECE = 256
-CACHE_PIECES = 400_000
+SLICE = 64
+CACHE_PIECES = 300_000
 _AT_ONCE = 30_000
-_codecs: dict = {}
+_SLICE_BYTES = 12_000_000
 
-#: ``id`` is piece * 65536 + position. A round keeps the pieces in which a pair is found, and
-#: a piece's last round has its tokens. The order of pairs, rank then position, is one number.
+#: ``id`` is piece * 65536 + position. The order of pairs, rank then position, is one number.
+#: A row carries its piece's best pair and the row that goes with it; a piece without is done.
 _ROUNDS = """
 WITH RECURSIVE step AS (
-  SELECT id, token, 0 AS round FROM start
+  SELECT id, token, NULL::BIGINT AS pair, NULL::BIGINT AS best, -1::BIGINT AS gone FROM start
   UNION ALL
-  SELECT id, CASE WHEN pair = best THEN (pair >> 16)::INTEGER ELSE token END AS token, round + 1 AS round
-  FROM (
-    WITH near AS (SELECT id, token, round, lead(token) OVER (ORDER BY id) AS next, lead(id) OVER (ORDER BY id) AS next_id FROM step),
-    found AS MATERIALIZED (
-      SELECT id, token, round, next_id, (rank::BIGINT << 16) | (id & 65535) AS pair
-      FROM near LEFT JOIN merges ON ab = CASE WHEN next_id >> 16 = id >> 16 THEN (token::BIGINT << 20) | next END),
-    least_pair AS (SELECT id >> 16 AS piece, min(pair) AS best, arg_min(next_id, pair) AS gone FROM found WHERE pair IS NOT NULL GROUP BY piece)
-    SELECT * FROM found JOIN least_pair ON piece = id >> 16)
-  WHERE id <> gone
-),
-own AS (SELECT id >> 16 AS piece, id, token, round FROM step),
-done AS (SELECT piece, max(round) AS round FROM own GROUP BY piece)
-SELECT piece, count(*) AS n, string_agg(token::VARCHAR, ' ' ORDER BY id) AS ids, string_agg(hex, '' ORDER BY id) AS hex
-FROM own JOIN done USING (piece, round) JOIN vocabulary USING (token) GROUP BY piece
+  (WITH now AS (SELECT id, CASE WHEN pair = best THEN (pair >> 16)::INTEGER ELSE token END AS token FROM step WHERE gone IS NOT NULL AND id <> gone),
+  near AS (SELECT id, token, lead((id << 20) | token) OVER (ORDER BY id) AS next FROM now),
+  found AS MATERIALIZED (
+    SELECT id, token, (rank::BIGINT << 16) | (id & 65535) AS pair, next >> 20 AS next_id
+    FROM near LEFT JOIN merges ON ab = CASE WHEN next >> 36 = id >> 16 THEN (token::BIGINT << 20) | (next & 1048575) END),
+  least_pair AS (SELECT id >> 16 AS piece, min(pair) AS best, arg_min(next_id, pair) AS gone FROM found WHERE pair IS NOT NULL GROUP BY piece)
+  SELECT id, token, pair, best, gone FROM found LEFT JOIN least_pair ON piece = id >> 16)
+)
+SELECT id >> 16 AS piece, string_agg(token::VARCHAR, ' ' ORDER BY id) AS ids, unhex(string_agg(hex, '' ORDER BY id)) AS body
+FROM step JOIN vocabulary USING (token) WHERE gone IS NULL GROUP BY piece
+"""
+
+_DECODE = """
+SELECT place, unhex(string_agg(hex, '' ORDER BY spot)) AS body
+FROM (SELECT place, unnest(ids) AS token, generate_subscripts(ids, 1) AS spot FROM encoded) JOIN vocabulary USING (token) GROUP BY place
 """
 
-_DOUBLE = re.compile(r"\s \s|^ | $").search
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_DOUBLE = f"{_WHITE} {_WHITE}|^ | $"
+
+
+class _Recent:
+    """What was looked up last: between one and two halves of ``CACHE_PIECES`` entries."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
+
+    def take(self, wanted) -> tuple[dict[str, tuple[str, bytes]], list[str]]:
+        """The entries that are known, and the keys that are not."""
+        out, new = {}, []
+        for x in wanted:
+            got = self.young.get(x)
+            if got is None:
+                got = self.old.get(x)
+                if got is None:
+                    new.append(x)
+                    continue
+                self.young[x] = got
+            out[x] = got
+        return out, new
+
+    def put(self, out: dict, fresh) -> None:
+        """Adds the entries here and to out."""
+        fresh = dict(fresh)
+        out.update(fresh)
+        self.young.update(fresh)
+        if len(self.young) > CACHE_PIECES // 2:
+            self.old, self.young = self.young, {}
 
 
 class Codec:
-    """Ranks and pattern with the pieces encoded so far."""
+    """Ranks and pattern with the pieces encoded last."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
@@ -67,10 +106,10 @@ class Codec:
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.name = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.cache: dict[str, tuple[str, int, bytes]] = {}
-        self.chunks: dict[str, tuple[str, int, bytes]] = {}
+        self.seen, self.chunks = _Recent(), _Recent()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, rank = zip(*pairs, strict=True)
@@ -79,138 +118,182 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
 
-    def _keep(self, piece: str, tokens: list[int], body: bytes) -> None:
-        self.cache[piece] = (" ".join(map(str, tokens)), len(tokens), body)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes the pieces that are not known yet."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = []
-        for piece in pieces:
-            if piece not in self.cache:
-                body = piece.encode()
-                rank = self.ranks.get(body)
-                if rank is not None:
-                    self._keep(piece, [rank], body)
-                elif len(body) > LONG_PIECE:
-                    tokens = self._heap(body)
-                    back = {r: t for t, r in self.ranks.items() if r in set(tokens)}
-                    self._keep(piece, tokens, b"".join(back[t] for t in tokens))
-                else:
-                    new.append((piece, body))
-        for at in range(0, len(new), _AT_ONCE):
-            self._rounds(new[at : at + _AT_ONCE])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[str], int, bytes]]:
-        """For each text its ids as decimal strings (several in one string), their number and the decoded bytes.
-
-        A single space between two characters of which one is no white space begins
-        a piece whatever comes before it, so a text is cut there and what lies
-        between, which recurs, is looked up whole.
-        """
-        cut = []
-        for text in texts:
-            if _DOUBLE(text):
-                cut.append(self.find(text))
+    def pieces(self, wanted: set[str]) -> dict[str, tuple[str, bytes]]:
+        """Ids, as decimal strings joined by a space, and decoded bytes of each piece."""
+        out, new = self.seen.take(wanted)
+        short = [(p, body) for p in new if len(body := p.encode()) <= SLICE]
+        for at in range(0, len(short), _AT_ONCE):
+            part = short[at : at + _AT_ONCE]
+            self.seen.put(out, zip([p for p, _ in part], self._rounds([b for _, b in part]), strict=True))
+        if len(short) < len(new):
+            long = [p for p in new if p not in out]
+            self.seen.put(out, zip(long, self._long([p.encode() for p in long]), strict=True))
+        return out
+
+    def _chunks(self, wanted: list[str]) -> list[tuple[str, bytes]]:
+        """The same of strings that begin and end with a piece."""
+        out, new = self.chunks.take(wanted)
+        cut = [[x] if x.removeprefix(" ").isalpha() else self.find(x) for x in new]  # letters after a space are one piece
+        known = self.pieces(set(chain.from_iterable(cut)))
+        fresh = []
+        for x, pieces in zip(new, cut, strict=True):
+            if len(pieces) == 1:
+                fresh.append((x, known[pieces[0]]))
             else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + x for x in rest]] if first else [])
-        if len(self.chunks) > CACHE_PIECES:
-            self.chunks.clear()
-        new = {x: self.find(x) for x in set().union(*cut) - self.chunks.keys()}
-        self.learn(set().union(*new.values()))
-        for x, pieces in new.items():
-            got = [self.cache[p] for p in pieces]
-            self.chunks[x] = (" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got]))
-        for chunks in cut:
-            got = [self.chunks[x] for x in chunks]
-            yield [g[0] for g in got], sum([g[1] for g in got]), b"".join([g[2] for g in got])
-
-    def _rounds(self, new: list[tuple[str, bytes]]) -> None:
-        size = np.fromiter((len(x) for _, x in new), np.int64, len(new))
-        piece = np.repeat(np.arange(len(new), dtype=np.int32), size)
-        pos = (np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        token = self.byte[np.frombuffer(b"".join(x for _, x in new), np.uint8)]
-        self.db.register("start", pa.table({"id": (piece.astype(np.int64) << 16) | pos, "token": token}))
+                got = [known[p] for p in pieces]
+                fresh.append((x, (" ".join([g[0] for g in got]), b"".join([g[1] for g in got]))))
+        self.chunks.put(out, fresh)
+        return [out[x] for x in wanted]
+
+    def _rounds(self, bodies: list[bytes]) -> list[tuple[str, bytes]]:
+        """Encodes byte strings; one that is a token is that token, as in the reference encoders."""
+        whole = [self.ranks.get(x) for x in bodies]
+        size = np.fromiter((1 if r is not None else len(x) for x, r in zip(bodies, whole, strict=True)), np.int64, len(bodies))
+        piece = np.repeat(np.arange(len(bodies), dtype=np.int64), size)
+        pos = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+        token = self.byte[np.frombuffer(b"".join([x if r is None else b"-" for x, r in zip(bodies, whole, strict=True)]), np.uint8)]
+        first = (np.cumsum(size) - size)[[i for i, r in enumerate(whole) if r is not None]]
+        token[first] = [r for r in whole if r is not None]
+        self.db.register("start", pa.table({"id": (piece << 16) | pos, "token": token}))
         found = self.db.sql(_ROUNDS).to_arrow_table()
         self.db.unregister("start")
-        for k, n, ids, body in zip(*(found[c].to_pylist() for c in ("piece", "n", "ids", "hex")), strict=True):
-            self.cache[new[k][0]] = (ids, n, bytes.fromhex(body))
-
-    def _heap(self, body: bytes) -> list[int]:
-        """The same merges by a heap of (rank, position)."""
-        n = len(body)
-        parts: list = [body[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and parts[i] is not None and after[i] < n:
-                rank = self.ranks.get(parts[i] + parts[after[i]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, len(parts[i]), len(parts[after[i]])))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if parts[i] is None or len(parts[i]) != a or after[i] >= n or len(parts[after[i]]) != b:
-                continue
-            j = after[i]
-            parts[i] += parts[j]
-            parts[j] = None
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            offer(before[i])
-        return [self.ranks[x] for x in parts if x is not None]
-
-
-def _codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
-
-
-def _encode(path: str, pattern: str, decoded: bool):
+        out: list = [("", b"")] * len(bodies)
+        for k, *got in zip(*(found[c].to_pylist() for c in ("piece", "ids", "body")), strict=True):
+            out[k] = tuple(got)
+        return out
+
+    def _tokens(self, bodies: list[bytes]) -> list[list[int]]:
+        return [[int(i) for i in ids.split()] for ids, _ in self._rounds(bodies)]
+
+    def _long(self, bodies: list[bytes]) -> list[tuple[str, bytes]]:
+        """Pieces of any length by slices; see the module's text."""
+        text = lambda tokens: b"".join([self.name[t] for t in tokens])
+        slices = [[x] if x in self.ranks else [x[i : i + SLICE] for i in range(0, len(x), SLICE)] for x in bodies]
+        coded = iter(self._tokens(list(chain.from_iterable(slices))))
+        out = [[next(coded) for _ in x] for x in slices]
+        open_, reach = list(range(len(out))), 1
+        while open_:
+            ends = list({(a[-1], b[0]) for k in open_ for a, b in zip(out[k], out[k][1:], strict=False)})
+            fits = {e: got == list(e) for e, got in zip(ends, self._tokens([text(e) for e in ends]), strict=True)}
+            seams = []
+            for k in open_:
+                joined = out[k][:1]
+                for tokens in out[k][1:]:
+                    if fits[joined[-1][-1], tokens[0]]:
+                        joined[-1] = joined[-1] + tokens
+                    else:
+                        joined.append(tokens)
+                # at every second seam, reach tokens of either side are encoded as one string
+                parts = []
+                for i in range(0, len(joined) - 1, 2):
+                    left, right = joined[i : i + 2]
+                    seams.append((k, len(parts) + 1))
+                    parts += [left[:-reach], left[-reach:] + right[:reach], right[reach:]]
+                out[k] = parts + joined[len(parts) // 3 * 2 :]
+            for (k, i), tokens in zip(seams, self._tokens([text(out[k][i]) for k, i in seams]), strict=True):
+                out[k][i] = tokens
+            open_ = sorted({k for k, _ in seams})
+            for k in open_:
+                out[k] = [x for x in out[k] if x]
+            reach = min(2 * reach, 4 * SLICE)
+        tokens = [x[0] for x in out]
+        return [(" ".join(map(str, x)), body) for x, body in zip(tokens, self.decode(tokens), strict=True)]
+
+    def decode(self, ids: list[list[int]]) -> list[bytes]:
+        """Bytes of each list of ids, by ordered aggregation."""
+        self.db.register("encoded", pa.table({"place": pa.array(range(len(ids)), pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
+        found = self.db.sql(_DECODE).to_arrow_table()
+        self.db.unregister("encoded")
+        out = [b""] * len(ids)
+        for place, body in zip(found["place"].to_pylist(), found["body"].to_pylist(), strict=True):
+            out[place] = body
+        return out
+
+    def encode(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
+        """Ids, as decimal strings joined by a space, and decoded bytes of each text.
+
+        A single space between two characters of which one is no white space begins
+        a piece whatever comes before it, so most texts are cut there first, and what
+        lies between is cut by the pattern once for all texts.
+        """
+        out: list = [(b"", b"")] * len(texts)
+        double, full = pc.match_substring_regex(texts, _DOUBLE).to_numpy(zero_copy_only=False), pc.binary_length(texts).to_numpy() > 0
+        odd, even = np.flatnonzero(double & full), np.flatnonzero(~double & full)
+        if len(odd):
+            cut = [self.find(x) for x in texts.take(pa.array(odd)).to_pylist()]
+            known = self.pieces(set().union(*cut))
+            for i, pieces in zip(odd.tolist(), cut, strict=True):
+                got = [known[p] for p in pieces]
+                out[i] = (" ".join([g[0] for g in got]).encode(), b"".join([g[1] for g in got]))
+        if len(even):
+            lists = pc.split_pattern(texts.take(pa.array(even)), " ")
+            coded = pc.dictionary_encode(lists.flatten())
+            place = coded.indices.to_numpy().copy()
+            starts = lists.offsets.to_numpy()[:-1]
+            opening = np.unique(place[starts])
+            at = np.full(len(coded.dictionary), -1, np.int32)
+            at[opening] = len(at) + np.arange(len(opening))
+            place[starts] = at[place[starts]]
+            # every chunk after its space, then those that open a text
+            after = pc.binary_join_element_wise("", coded.dictionary, " ")
+            found = self._chunks(after.to_pylist() + coded.dictionary.take(pa.array(opening)).to_pylist())
+            joined = [pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pa.array([f[k] for f in found], pa.binary()).take(pa.array(place))), gap).to_pylist() for k, gap in ((0, b" "), (1, b""))]
+            for i, a, b in zip(even.tolist(), *joined, strict=True):
+                out[i] = (a, b)
+        return out
+
+
+@contextmanager
+def _codec(path: str, pattern: str):
+    """A task's codec. It goes with the task: a worker that waits for other work holds no memory for it."""
+    codec = Codec(path, pattern)
+    try:
+        yield codec
+    finally:
+        codec.db.close()
+        codec.seen, codec.chunks = _Recent(), _Recent()
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of rows with about ``_SLICE_BYTES`` bytes."""
+    column = pc.fill_null(column, "")
+    run = (np.cumsum(size := pc.binary_length(column).to_numpy()) - size) // _SLICE_BYTES
+    cuts = [*np.flatnonzero(np.diff(run, prepend=-1)), len(run)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(a), column.slice(a, b - a)
+
+
+def _encode(path: str, pattern: str, digests: bool):
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
-                n_tokens, ids, sha = [], [], []
-                for strings, n, body in codec.encode([x or "" for x in batch["text"].to_pylist()]):
-                    n_tokens.append(n)
-                    text = " ".join(strings)
-                    ids.append(hashlib.sha256(text.encode()).hexdigest() if decoded else text)
-                    sha.append(hashlib.sha256(body).hexdigest() if decoded else None)
-                columns = [batch["doc_id"], pa.array(n_tokens, pa.int64()), pa.array(ids, pa.string())]
-                if decoded:
-                    yield pa.record_batch([*columns, pa.array(sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids"])
+        with _codec(path, pattern) as codec:
+            for batch in batches:
+                for row, texts in _slices(batch["text"]):
+                    got = codec.encode(texts)
+                    n = pa.array([a.count(b" ") + 1 if a else 0 for a, _ in got], pa.int64())
+                    ids = pa.array([sha(a) if digests else a.decode() for a, _ in got], pa.string())
+                    yield pa.record_batch([batch["doc_id"].slice(row, len(got)), n, ids, pa.array([sha(b) for _, b in got], pa.string())], ["doc_id", "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256"])
 
     return run
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, digests: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids: decimal ids joined by a space), or digests of ids and of the decoded bytes."""
+    """(doc_id, n_tokens, ids: decimal ids joined by a space, or ids_sha256: their digest, decoded_sha256: digest of the bytes decoded from the ids)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = "ids_sha256 string, decoded_sha256 string" if digests else "ids string"
-    return own.mapInArrow(_encode(ranks_path, pattern, digests), f"doc_id long, n_tokens long, {out}")
+    return own.mapInArrow(_encode(ranks_path, pattern, digests), f"doc_id long, n_tokens long, {'ids_sha256' if digests else 'ids'} string, decoded_sha256 string")
 
 
-def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, text) of encoded documents."""
+def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, text) of encoded documents; bytes that are no UTF-8 fail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(ranks_path, "rb") as lines:
-            parts = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
-        for batch in batches:
-            texts = [b"".join(parts[int(i)] for i in (x.as_py() or "").split()) for x in batch["ids"]]
-            yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+        with _codec(ranks_path, pattern) as codec:
+            for whole in batches:
+                for at in range(0, len(whole), 500):
+                    batch = whole.slice(at, 500)
+                    texts = codec.decode([[int(i) for i in (x or "").split()] for x in batch["ids"].to_pylist()])
+                    yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
