@@ -19,23 +19,27 @@ starts anywhere else, in the same document too.
    buckets send digests of its strings, which are counted exactly by hash.
 
 Cases: null text counts as empty; documents shorter than ``length`` stay whole;
-rows with equal ids are documents of their own; an empty table gives an empty
-result; other columns are not looked at.
+a document of any length is one run of bytes, of which the work arrays take about
+60 times as much; rows with equal ids, or none, are documents of their own; of
+equally small hashes all are anchors; an empty table gives an empty result; other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .buckets import bucketed, by_shard, partitions
+from .buckets import bucketed, by_shard, pack_sorted, partitions, unpack_sorted
 from .textbytes import RangeHash, column_slices, mix
 
 LENGTH, GRAM, HOT_REGIONS = 400, 300, 500
 _TEXT_BYTES = 300_000
 _A, _B = RangeHash(31), RangeHash(32)
 _DUP, _SUPPLY, _HOT = 1, 2, 4
+_PLACES = 4  # the kind of rows that carry the places of a bucket's anchors, found once
 _ROW = "kind int, shard int, bucket int, body binary"
 
 
@@ -51,15 +55,19 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 class _Bucket:
     """The anchors of a bucket's documents and its distinct (anchor, region) entries."""
 
-    def __init__(self, table: pa.Table, length: int, gram: int) -> None:
+    def __init__(self, table: pa.Table, length: int, gram: int, places: bytes | None = None) -> None:
+        """places: the anchors' places, packed, if they were found before."""
         self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.length, self.gram = length, gram
         self.parts, base = [], 0
         found: list[list] = [[] for _ in range(6)]
+        known = None if places is None else unpack_sorted(places).astype(np.int64)
+        self.places = []
         for row, data, offsets in column_slices(self.table["text"], 1_000_000):
             self.parts.append((row, data, offsets, base))
             if len(data) >= length:
-                for k, (out, x) in enumerate(zip(found, self._anchors(data, offsets), strict=True)):
+                p = None if known is None else known[slice(*np.searchsorted(known, [base, base + len(data)]))] - base
+                for k, (out, x) in enumerate(zip(found, self._anchors(data, offsets, base, p), strict=True)):
                     out.append(x + base if k > 3 else x)
             base += len(data)
         kinds = (np.uint64,) * 4 + (np.int64,) * 2
@@ -75,9 +83,9 @@ class _Bucket:
         self.left, self.right = left[order][self.head], right[order][self.head]
         self.several = np.diff(np.append(self.head, len(order))) > 1
 
-    def _anchors(self, data: np.ndarray, offsets: np.ndarray):
-        n, k, length = len(data), self.gram, self.length
-        pre, pre2 = _A.prefix(data), _B.prefix(data)
+    def _least(self, pre: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Places of the least hashed gram of every string."""
+        n, k, length = len(pre) - 1, self.gram, self.length
         at = np.arange(n - k + 1)
         grams = np.maximum(_A.of(pre, at, at + k), np.uint64(1))
         width = length - k + 1
@@ -87,7 +95,15 @@ class _Bucket:
         least = np.where(whole, least, np.uint64(0))
         pad = np.zeros(width - 1, np.uint64)
         most = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)
-        p = np.flatnonzero(most[: len(grams)] == grams)
+        return np.flatnonzero(most[: len(grams)] == grams)
+
+    def _anchors(self, data: np.ndarray, offsets: np.ndarray, base: int, p: np.ndarray | None):
+        n, k, length = len(data), self.gram, self.length
+        pre, pre2 = _A.prefix(data), _B.prefix(data)
+        if p is None:
+            p = self._least(pre, offsets)
+            self.places.append(p + base)
+        gram = np.maximum(_A.of(pre, p, p + k), np.uint64(1))
         row = np.searchsorted(offsets, p, "right") - 1
         start, end = np.maximum(p + k - length, offsets[row]), np.minimum(p + length, offsets[row + 1])
         half = (length - k) // 2
@@ -95,11 +111,11 @@ class _Bucket:
         right = np.where(p + k + half <= offsets[row + 1], _A.of(pre, p, np.minimum(p + k + half, n)), np.uint64(0))
         shift = (p - start).astype(np.uint64)
         # least hashes are small numbers: mixed again, they spread over the shards
-        return mix(grams[p]), _B.of(pre2, start, end) ^ shift, left, right, start, end
+        return mix(gram), _B.of(pre2, start, end) ^ shift, left, right, start, end
 
     def status(self, rows: pa.Table, shards: int) -> np.ndarray:
         out = np.zeros(len(self.anchor), np.uint8)
-        told = dict(zip(rows["shard"].to_pylist(), rows["body"].to_pylist(), strict=True))
+        told = {s: x for kind, s, x in zip(*(rows[c].to_pylist() for c in ("kind", "shard", "body")), strict=True) if kind == 0}
         for s, a, b in by_shard(self.anchor, shards):
             out[a:b] = np.frombuffer(told[s], np.uint8)
         return out
@@ -131,17 +147,26 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(shard, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "body": pa.array(body, pa.binary())})
 
 
+def _places(answers: pa.Table) -> bytes:
+    return next(x for kind, x in zip(answers["kind"].to_pylist(), answers["body"].to_pylist(), strict=True) if kind == _PLACES)
+
+
 def _regions(length: int, gram: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         own = _Bucket(table, length, gram)
-        return _rows([(0, s, bucket, b"".join(x[a:b].tobytes() for x in (own.anchor, own.region, own.left, own.right, own.several.astype(np.uint64)))) for s, a, b in by_shard(own.anchor, shards)])
+        places = pack_sorted(np.concatenate(own.places).astype(np.uint32)) if own.places else b""
+        return _rows([(_PLACES, bucket % shards, bucket, places)] + [(0, s, bucket, b"".join(x[a:b].tobytes() for x in (own.anchor, own.region, own.left, own.right, own.several.astype(np.uint64)))) for s, a, b in by_shard(own.anchor, shards)])
 
     return run
 
 
 def _count(hot_regions: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(whole: pa.Table) -> pa.Table:
+        table, places = (whole.filter(pc.equal(whole["kind"], k)) for k in (0, _PLACES))
+        passed = [(_PLACES, 0, b, x) for b, x in zip(places["bucket"].to_pylist(), places["body"].to_pylist(), strict=True)]
+        if not len(table):
+            return _rows(passed)
         sent = [np.frombuffer(x.as_py(), np.uint64).reshape(5, -1) for x in table["body"]]
         anchor, region, left, right, several = np.concatenate(sent, axis=1)
         order = np.lexsort((region, anchor))
@@ -164,7 +189,7 @@ def _count(hot_regions: int):
         back = np.empty(len(order), np.uint8)
         back[order] = status
         cuts = np.cumsum([0, *(x.shape[1] for x in sent)])
-        return _rows([(0, s, k, back[cuts[i] : cuts[i + 1]].tobytes()) for i, (s, k) in enumerate(zip(table["shard"].to_pylist(), table["bucket"].to_pylist(), strict=True))])
+        return _rows(passed + [(0, s, k, back[cuts[i] : cuts[i + 1]].tobytes()) for i, (s, k) in enumerate(zip(table["shard"].to_pylist(), table["bucket"].to_pylist(), strict=True))])
 
     return run
 
@@ -174,9 +199,10 @@ def _supply(length: int, gram: int, shards: int):
         if not len(table):
             return _rows([])
         bucket = table["bucket"][0].as_py()
-        own = _Bucket(table, length, gram)
+        places = _places(answers)
+        own = _Bucket(table, length, gram, places)
         status = own.status(answers, shards)
-        out = [(3, bucket % shards, bucket, status.tobytes())]
+        out = [(3, bucket % shards, bucket, status.tobytes()), (_PLACES, bucket % shards, bucket, places)]
         where = own.order[own.head]
         give = (status & _SUPPLY > 0) & (status & _HOT == 0)
         for s, a, b in by_shard(own.anchor, shards):
@@ -349,8 +375,8 @@ def _expand(length: int):
     def run(table: pa.Table) -> pa.Table:
         kind = table["kind"][0].as_py()
         rows = list(zip(table["bucket"].to_pylist(), table["body"].to_pylist(), strict=True))
-        if kind == 3:
-            return _rows([(3, 0, b, x) for b, x in rows])
+        if kind in (3, _PLACES):
+            return _rows([(kind, 0, b, x) for b, x in rows])
         return _rows(bwt(rows) if kind == 1 else hot(rows))
 
     return run
@@ -358,8 +384,10 @@ def _expand(length: int):
 
 def _apply(length: int, gram: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        own = _Bucket(table, length, gram)
-        told: dict[int, list[bytes]] = {1: [], 2: [], 3: []}
+        if not len(table):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_bytes": pa.array([], pa.binary())})
+        own = _Bucket(table, length, gram, _places(answers))
+        told: dict[int, list[bytes]] = {1: [], 2: [], 3: [], _PLACES: []}
         for kind, body in zip(answers["kind"].to_pylist(), answers["body"].to_pylist(), strict=True):
             told[kind].append(body)
         status = np.frombuffer(told[3][0], np.uint8) if told[3] else np.zeros(len(own.anchor), np.uint8)
