@@ -114,6 +114,20 @@ def test_repeated_bytes(docs, rows, hot):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept_bytes)) == (len(t), int(gone.sum()), spans, bytes(b for b, g in zip(t, gone) if not g))
 
 
+def test_op10_query_equals_brute_force_at_its_own_length(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    n = Counter(hash(t[at : at + 400]) for t in texts.values() for at in range(len(t) - 399))
+    got = {r.doc_id: r for r in registry.QUERIES["op10_bwt_substring_dedup"](spark, SF).collect()}
+    assert got.keys() == texts.keys() and max(n.values()) > 1
+    for i, t in texts.items():
+        gone = np.zeros(len(t) + 1, bool)
+        for at in range(len(t) - 399):
+            if n[hash(t[at : at + 400])] > 1:
+                gone[at : at + 400] = True
+        rest = bytes(np.frombuffer(t, np.uint8)[~gone[:-1]])
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), sha(rest))
+
+
 def test_near_duplicates(docs, rows):
     sets = {}
     for r in rows:
@@ -187,7 +201,27 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(spark, docs, rows):
     for r in rows + more:
         ids = enc.encode_ordinary(r[1] or "")
         assert (got[r[0]].n_tokens, got[r[0]].ids) == (len(ids), " ".join(map(str, ids)))
-    assert {r.doc_id: r.text for r in bpe.decode_ids(encoded, path).collect()} == {r[0]: r[1] or "" for r in rows + more}
+    assert {r.doc_id: r.text for r in bpe.decode_ids(encoded, path, pattern).collect()} == {r[0]: r[1] or "" for r in rows + more}
+
+
+def test_long_pieces_equal_tiktoken_and_are_quick():
+    import time
+
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    codec = bpe.Codec(path, pattern)
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(8)
+    chinese = "".join(rng.choice("的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主发年动同工也能下过子说产种面而方后多定行学法所民得经") for _ in range(4000))
+    long = [chinese, "a" * 3001, "ab" * 999 + "a", "=" * 1234, *("".join(rng.choice(letters) for _ in range(rng.randrange(65, 1500))) for letters in ["ab", "aeinrst", "etaoinshrdluETAOIN", "é中の가aß", "=-_"] for _ in range(6))]
+    long += ["".join(rng.choice(["ing", "tion", "the", "er", "a", "Th", "é"]) for _ in range(rng.randrange(30, 400))) for _ in range(20)]
+    assert all(len(codec.find(text)) == 1 for text in long)
+    began = time.thread_time()
+    codec.pieces({chinese})
+    assert time.thread_time() - began < 3  # 0.4 s on a usual machine
+    for text, (ids, body) in codec.pieces(set(long)).items():
+        assert (list(map(int, ids.split())), body) == (enc.encode_ordinary(text), text.encode())
 
 
 def test_quality_measures(docs, rows):
@@ -204,6 +238,44 @@ def test_quality_measures(docs, rows):
         assert g.base_failed == (len(ws) < 20 or 100 * len(cover) > 30 * len(ws)) and (g.kept is not None) and not (g.kept and g.base_failed)
 
 
+def test_distances_and_verdicts_equal_brute_force(spark):
+    import regex
+
+    rng = random.Random(9)
+    vocabulary = [*"the of and To été ÜBER 12 3.5 a, ( x=y".split(), *(f"w{k}" for k in range(60))]
+    text = lambda: " ".join(rng.choice(vocabulary[: rng.choice([9, 30, 70])]) for _ in range(rng.randrange(10, 120)))
+    rows = [(i, text(), rng.choice(["en", "fr"])) for i in range(150)] + [(200, "!? ## " * 60 + "a b c d", "en"), (201, "ÄÖ " * 50 + " ".join(f"É{k}" for k in range(60)), "fr"), (202, " ".join(str(k) for k in range(90)), "en"), (203, None, "fr"), (204, " ".join(f"w{k % 60}" for k in range(55)), "en")]
+    got = {r.doc_id: r for r in divergence_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_reference_words=500).collect()}
+    kinds = [r"[0-9]", r"\p{Lu}", r"[\p{P}\p{S}]"]
+
+    def classes(t):
+        n = [len(regex.findall(k, t)) for k in kinds] + [sum(ord(c) > 127 and not regex.match(r"[\p{Lu}\p{P}\p{S}]", c) for c in t)]
+        return np.array([*n, sum(map(len, words(t))) - sum(n)], float)
+
+    def distance(p, q):
+        p, q = (x / x.sum() if x.sum() else x for x in (p, q))
+        part = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, (p + q) / 2, strict=True) if a > 0)
+        return math.sqrt(max((part(p) + part(q)) / 2, 0))
+
+    verdicts = Counter()
+    for lang in ("en", "fr"):
+        own = [(i, t or "") for i, t, k in rows if k == lang]
+        total = Counter(w for _, t in own for w in words(t.lower()))
+        picked = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0].encode()))[:16]]
+        common = lambda n: np.array([*(n[w] for w in picked), n.total() - sum(n[w] for w in picked)], float)
+        ref, shares = sum(classes(t) for _, t in own), common(total)
+        lacking = distance(np.array([0.0] * 16 + [1]), shares)
+        for i, t in own:
+            n = len(words(t))
+            a, b = distance(classes(t), ref), distance(common(Counter(words(t.lower()))), shares)
+            limit = min(0.4, 0.95 * lacking) if (shares[-1] / shares.sum()) ** n < 1e-3 else 0.4
+            g = got[i]
+            assert max(abs(g.class_distance - a), abs(g.word_distance - b), abs(g.word_limit - limit)) < 1e-9
+            assert g.kept == (not g.base_failed and not (n >= 50 and (a > 0.3 or b > limit)))
+            verdicts[g.base_failed, g.kept] += 1
+    assert len(verdicts) == 3 and min(verdicts.values()) >= 2
+
+
 def test_words_of_small_and_null_languages_are_compared_to_all_documents(spark):
     rng = random.Random(5)
     text = lambda: " ".join(rng.choice(["the", "of", "and", "to"] + [f"w{k}" for k in range(12)]) for _ in range(100))
