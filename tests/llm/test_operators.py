@@ -318,7 +318,7 @@ def test_mixing_targets_quotas_and_draws(docs, rows):
     assert abs(sum(goal) - 1110) < 1e-9 and goal[1] == 30 and goal[2] == 0 and goal[0] == 300
     cut = mixing.split_quotas(np.array([7, 0, 13]), 5, 1)
     assert cut.sum(axis=0).tolist() == [7, 0, 13] and set(cut.sum(axis=1)) == {4}
-    plan = mixing.mixing_plan(docs, shards=3, block_words=50)
+    plan = mixing.mixing_plan(docs, shards=3)
     got, again = ({r.doc_id: r for r in plan.collect()} for _ in range(2))
     assert {i: r.mix_draws for i, r in got.items()} == {i: r.mix_draws for i, r in again.items()}
     for s in {r[3] for r in rows}:
@@ -327,6 +327,38 @@ def test_mixing_targets_quotas_and_draws(docs, rows):
         assert abs(taken - own[0].mix_target) <= max(r.mix_size for r in own) / 2 + 1
         assert all(len(r.mix_draws) <= 3 and all(0 <= d.shard < 3 for d in r.mix_draws) for r in own)
     assert mixing.mixed_documents(docs).columns == docs.columns
+    few = {r.doc_id: r for r in mixing.mixing_plan(docs, shards=3, blocks=4).collect()}
+    assert any(len(few[i].mix_draws) != len(got[i].mix_draws) for i in few)
+
+
+def test_mix_takes_what_the_tree_gives(docs, monkeypatch):
+    size = lambda plan: {r.doc_id: r.mix_size * len(r.mix_draws) for r in plan.collect()}
+    whole, split = size(mixing.mixing_plan(docs, shards=4)), mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a) * np.array([[1], [0], [1], [1]]))
+    less = size(mixing.mixing_plan(docs, shards=4))
+    assert sum(less.values()) < sum(whole.values()) and all(less[i] <= n for i, n in whole.items())
+
+
+def test_mix_carries_columns_of_any_name(spark, docs):
+    named = docs.selectExpr("*", "1 AS ps", "2 AS pp", "3 AS mix_source", "4 AS `key`", "5 AS `row`", "6 AS hash", "7 AS block", "8 AS mix_size")
+    out = mixing.mixed_documents(named, shards=3)
+    assert out.columns == named.columns and {tuple(r)[-8:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
+    assert mixing.mixing_plan(named, shards=3).where("mix_size <> 8").count() > 0
+
+
+def test_op8_query_is_near_its_targets(spark):
+    got = registry.QUERIES["op8_hypergeometric_mixing"](spark, SF).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    by = defaultdict(list)
+    for r in got:
+        assert r.size == len(words(docs[r.doc_id].text)) and r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
+        by[docs[r.doc_id].source].append(r)
+    names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(r.size for r in by[s]) for s in names]
+    for s, n, t in zip(names, sizes, mixing.targets(sizes, [1 + i % 3 for i in range(len(names))]), strict=True):
+        assert {r.source_size for r in by[s]} == {n} and all(abs(r.target - t) < 1e-6 for r in by[s])
+        assert abs(sum(r.taken for r in by[s]) - t) <= max(r.size for r in by[s]) / 2 + 1
 
 
 def test_chat_round_trip_with_control_strings(spark):
@@ -368,6 +400,23 @@ def test_pipeline_keeps_columns(spark):
         assert out.columns == docs.columns and out.count() > 0
 
 
+def test_pipeline_chain_with_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ["gone_id", "gone_key", "twice_id", "twice_key", "row_id", "row_key", "_key", "row", "key", "ps", "mix_source", "kept", "root"]
+    plain, named = docs, docs.selectExpr("*", *(f"'{c}' AS `{c}`" for c in odd))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for name, df in (("plain", plain), ("named", named)):
+            stage(spark, df, SF).write.parquet(f"{tmp_path}/{name}{k}")
+        plain, named = (spark.read.parquet(f"{tmp_path}/{name}{k}") for name in ("plain", "named"))
+        if k < 4:
+            assert named.columns == docs.columns + odd and named.drop(*odd).exceptAll(plain).isEmpty()
+    got = sorted(map(tuple, plain.collect()))
+    assert got == sorted(map(tuple, named.collect())) and 0 < len(got) < 3 * docs.count()
+    assert {sha(t.text or "") for t in docs.collect()} >= {r[3] for r in got}
+
+
 def test_dedup_stages_drop_rows_not_ids(spark):
     import corpus_pipeline
 
