@@ -36,9 +36,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 SLICE = 64
-CACHE_PIECES = 300_000
-_AT_ONCE = 30_000
-_SLICE_BYTES = 12_000_000
+CACHE_PIECES = 250_000
+_AT_ONCE = 25_000
+_SLICE_BYTES = 5_000_000
 
 #: ``id`` is piece * 65536 + position. The order of pairs, rank then position, is one number.
 #: A row carries its piece's best pair and the row that goes with it; a piece without is done.
@@ -110,7 +110,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.seen, self.chunks = _Recent(), _Recent()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, rank = zip(*pairs, strict=True)
         merges = pa.table({"ab": (np.array(a, np.int64) << 20) | np.array(b, np.int64), "rank": pa.array(rank, pa.int32())})  # noqa: F841
