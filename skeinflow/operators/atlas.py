@@ -46,3 +46,46 @@ def occupancy(df: DataFrame, keys: Sequence[str], k: str, n: str, *, iterations:
     fit = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, update)
     d = d.withColumn("_fit", F.when(F.col("seen") > 0, fit))
     return d.select(*keys, "cells", "seen", F.coalesce("_fit.psi", F.lit(0.0)).alias("psi"), F.col("_fit.p").alias("p"))
+
+
+def log_likelihood(k: Column, n: Column, psi: Column, p: Column) -> Column:
+    """Of one cell, without the binomial constant; a cell with detections is occupied, a silent one may be."""
+    seen = F.log(psi) + k * F.log(p) + F.when(n > k, (n - k) * F.log1p(-p)).otherwise(0.0)
+    return F.when(k > 0, seen).otherwise(F.log(psi * F.pow(1 - p, n) + 1 - psi))
+
+
+def paired_footprint(effort: DataFrame, cell: str, epoch: str, cards: str, *, least: int = 20) -> DataFrame:
+    """Cells with enough cards in both epochs, and their cards in each."""
+    e = effort.groupBy(cell, epoch).agg(F.sum(cards).alias("c")).where(F.col("c") >= least)
+    both = e.groupBy(cell).agg(F.count("*").alias("k"), F.min_by("c", epoch).alias("cards_first"), F.max_by("c", epoch).alias("cards_second"))
+    return both.where("k = 2").drop("k")
+
+
+def epoch_changes(fits: DataFrame, taxon: str, epoch: str, *, least_seen: int = 30) -> DataFrame:
+    """Change of psi, of the naive share and of p of each taxon seen in enough cells of the first epoch.
+
+    fits: taxon, epoch (the smaller is the first), cells, seen, psi, p. A fit of psi
+    above 0.999 lies on the boundary.
+    """
+    s = fits.groupBy(taxon).agg(F.count("*").alias("_k"), F.min_by(F.struct("cells", "seen", "psi", "p"), epoch).alias("a"), F.max_by(F.struct("cells", "seen", "psi", "p"), epoch).alias("b")).where("_k = 2")
+    s = s.where(F.col("a.seen") >= least_seen)
+    naive = F.col("b.seen") / F.col("b.cells") - F.col("a.seen") / F.col("a.cells")
+    return s.select(taxon, F.col("a.seen").alias("seen_first"), F.col("b.seen").alias("seen_second"), (F.col("b.psi") - F.col("a.psi")).alias("d_psi"), naive.alias("d_naive"), (F.col("b.p") - F.col("a.p")).alias("d_p"), ((F.col("a.psi") > 0.999) | (F.col("b.psi") > 0.999)).alias("boundary"))
+
+
+def change_summary(changes: DataFrame, *, noise: float = 0.02) -> DataFrame:
+    """Medians, share of taxa whose detection rose, sign flips of psi against the naive share beyond noise, and their correlation."""
+    flip = (F.abs("d_psi") > noise) & (F.abs("d_naive") > noise) & (F.signum("d_psi") != F.signum("d_naive"))
+    return changes.agg(F.count("*").alias("taxa"), F.median("d_psi").alias("median_d_psi"), F.median("d_p").alias("median_d_p"), F.avg((F.col("d_p") > 0).cast("int")).alias("p_rose"), F.sum(flip.cast("int")).alias("sign_flips"), F.corr("d_psi", "d_naive").alias("r"))
+
+
+def dropped_by_stricter_rule(changes: DataFrame, *, least_seen: int = 30) -> DataFrame:
+    """Taxa that a rule of enough cells in both epochs would drop."""
+    return changes.where(F.col("seen_second") < least_seen)
+
+
+def expected_taxa(draws: DataFrame, fits: DataFrame, taxon: str, cell: str, k: str, n: str) -> DataFrame:
+    """Taxa recorded in each cell, and expected to be there: 1 if recorded, else the chance to be there in silence."""
+    chance = F.when(F.col(k) > 0, 1.0).otherwise(silence_given(F.col("psi"), F.coalesce("p", F.lit(0.0)), F.col(n)))
+    d = draws.join(fits.select(taxon, "psi", "p"), taxon)
+    return d.groupBy(cell).agg(F.sum((F.col(k) > 0).cast("int")).alias("recorded"), F.sum(chance).alias("expected"))

@@ -31,3 +31,16 @@ def gear_change_year(df: DataFrame, keys: Sequence[str], year: str, gear: str) -
     yearly = df.groupBy(*keys, year).agg(F.min(gear).alias("g"))
     first = yearly.groupBy(*keys).agg(F.min_by("g", year).alias("g0"))
     return yearly.join(first, list(keys)).groupBy(*keys).agg(F.min(F.when(F.col("g") != F.col("g0"), F.col(year))).alias("change_year"))
+
+
+def available(df: DataFrame, year: str, site: str, value: str, doy: str, *, least_share: float = 0.5) -> DataFrame:
+    """Unweighted environment of each year over its sites, each once, where enough of them have a value."""
+    once = df.groupBy(year, site).agg(F.avg(value).alias("v"), F.avg(doy).alias("d"))
+    out = once.groupBy(year).agg(F.count("*").alias("sites"), F.avg("v").alias("ambient"), F.avg(F.col("v").isNotNull().cast("int")).alias("share"), F.avg("d").alias("mean_doy"))
+    return out.where(F.col("share") >= least_share)
+
+
+def tracking_index(occupied: DataFrame, ambient: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """1 - occupied trend / ambient trend, where the ambient trend is distinguishable; both: keys, slope, se."""
+    both = occupied.select(*keys, F.col("slope").alias("o")).join(ambient.select(*keys, F.col("slope").alias("a"), "se"), list(keys))
+    return both.select(*keys, F.col("o").alias("occupied"), F.col("a").alias("ambient"), F.when(F.abs("a") > 1.96 * F.col("se"), 1 - F.col("o") / F.col("a")).alias("tracking"))

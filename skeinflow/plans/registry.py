@@ -171,7 +171,21 @@ def track_segments(spark, sf_dir):
     return d.groupBy("user_id", "segment").agg(F.count("*").alias("fixes"))
 
 
-@query()
+def _reachable(rounds: int) -> str:
+    """The SQL of so many rounds of segmenting and removing strays."""
+    parts = [_FIX.replace("x AS", "x0 AS", 1)]
+    for r in range(1, rounds + 1):
+        parts += [
+            f"s{r} AS (SELECT *, {_KM.format('lag(lat) OVER w', 'lat', 'lag(lon) OVER w', 'lon')} AS km, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 86400000000 AS days FROM x{r - 1} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))",
+            f"g{r} AS (SELECT user_id, event_id, ts, lat, lon, sum(CASE WHEN km > 50 AND (days <= 0 OR km / (days * 24) > 40) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM s{r})",
+            f"p{r} AS (SELECT user_id, segment, avg(lat) AS la, avg(lon) AS lo, count(*) AS n FROM g{r} GROUP BY ALL)",
+            f"h{r} AS (SELECT user_id, arg_max(la, (n, -segment)) AS hla, arg_max(lo, (n, -segment)) AS hlo, count(*) AS k FROM p{r} GROUP BY 1)",
+            f"x{r} AS (SELECT g{r}.user_id, event_id, ts, lat, lon FROM g{r} JOIN p{r} USING (user_id, segment) JOIN h{r} USING (user_id) WHERE {_KM.format('hla', 'la', 'hlo', 'lo')} <= 300 AND (n > 1 OR k = 1))",
+        ]
+    return "WITH " + ", ".join(parts)
+
+
+@query(f"{_reachable(3)} SELECT user_id, count(*) AS fixes FROM x3 GROUP BY 1")
 def unreachable_removed(spark, sf_dir):
     return tracks.unreachable_removed(_fixes(spark, sf_dir), ["user_id"], "ts", "lat", "lon", max_kmh=40.0, stray_km=300.0, tie="event_id").groupBy("user_id").agg(F.count("*").alias("fixes"))
 
@@ -234,7 +248,14 @@ def _occupancy_input(spark, sf_dir):
     return grid.join(rates.select("cell", "species", F.col("cards_with").alias("k")), ["cell", "species"], "left").select("species", "cell", F.coalesce("k", F.lit(0)).alias("k"), "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CARDS}, e AS (SELECT cell, count(DISTINCT card) AS n FROM c GROUP BY 1), r AS (SELECT cell, species, count(DISTINCT card) AS k FROM c GROUP BY ALL),
+d AS (SELECT s.species, e.cell, coalesce(r.k, 0) AS k, e.n FROM e CROSS JOIN (SELECT DISTINCT species FROM c) AS s LEFT JOIN r ON r.cell = e.cell AND r.species = s.species),
+own AS (SELECT species, count(*) AS cells, count_if(k > 0) AS seen, sum(k)::DOUBLE AS ks, (sum(n) FILTER (k > 0))::DOUBLE AS ns FROM d GROUP BY 1), silent AS (SELECT species, n AS m, count(*) AS c FROM d WHERE k = 0 GROUP BY ALL),
+em AS (SELECT species, 0 AS i, seen::DOUBLE / cells AS psi, least(ks / ns, 0.999) AS p FROM own WHERE seen > 0
+  UNION ALL
+  SELECT species, i + 1, (any_value(seen) + coalesce(sum(z), 0)) / any_value(cells), any_value(ks) / (any_value(ns) + coalesce(sum(z * m), 0))
+  FROM (SELECT em.species, em.i, seen, cells, ks, ns, m, c * psi * pow(1 - p, m) / (psi * pow(1 - p, m) + 1 - psi) AS z FROM em JOIN own USING (species) LEFT JOIN silent USING (species) WHERE em.i < 100) GROUP BY species, i)
+SELECT species, cells, seen, round(coalesce(psi, 0), 5) AS psi, round(p, 5) AS p FROM own LEFT JOIN (SELECT * FROM em WHERE i = 100) AS fit USING (species)""")
 def occupancy(spark, sf_dir):
     return _r(atlas.occupancy(_occupancy_input(spark, sf_dir), ["species"], "k", "n"), "psi", "p")
 
@@ -340,3 +361,6 @@ def disclosure_decisions(spark, sf_dir):
     sources = spark.createDataFrame([("s", "low", True)], "source_id string, default_sensitivity string, redistributable boolean")
     policy = spark.createDataFrame([("low", "aggregate", False), ("moderate", "aggregate", False), ("high", "aggregate", False), ("embargoed", "aggregate", True)], "sensitivity string, granularity string, withhold boolean")
     return gate.decide(gate.sensitivity(items, rules, sources), policy, sources, [5]).select("taxon", "decision", "reason", "sensitivity", "n")
+
+
+from . import more_queries  # noqa: E402, F401  its queries register themselves here

@@ -46,6 +46,11 @@ def scan(spark: SparkSession, spec: TableSpec, root: str, source_id: list[str] |
     return df if source_id is None else df.where(F.col("source_id").isin(source_id))
 
 
+def sources(spark: SparkSession, spec: TableSpec, root: str) -> DataFrame:
+    """The sources that a dataset holds, from its partitions."""
+    return scan(spark, spec, root, None).select("source_id").distinct()
+
+
 def write(df: DataFrame, spec: TableSpec, root: str, source_id: str) -> None:
     """Replaces the partitions that df touches, after checks of schema, source and identity, and logs the run."""
     found = spec.violations(df)

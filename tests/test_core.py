@@ -145,3 +145,31 @@ def test_entry_and_queries():
     import __spark_entry__ as e
 
     assert "passage_quantiles" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_far_points_have_no_cell_and_are_refused(spark):
+    from skeinflow.operators import grids
+
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 90.0, 0.0), (3, None, 1.0)], "p int, lon double, lat double")
+    cells = spark.createDataFrame([(7, 0.0, 0.0), (8, 1.0, 1.0), (9, 1.0, 0.0)], "c int, lon double, lat double")
+    got = {r.p: (r.c, r.error_km) for r in grids.nearest_cells(points, cells, "p", "c", reach=2.0).collect()}
+    assert got[1][0] in (7, 8, 9) and got[1][1] < 80 and got[2] == (None, None) and got[3] == (None, None)
+    with pytest.raises(Exception, match="no cell near 2"):
+        grids.nearest_cells(points.where("p = 2"), cells, "p", "c", reach=2.0, max_error_km=250.0).collect()
+
+
+def test_without_takes_null_for_equal(spark):
+    from skeinflow.operators import panels
+
+    d = spark.createDataFrame([(1, None), (1, "a"), (None, "b")], "k int, v string")
+    assert panels.without(d, d.where("v is null or v = 'b'"), ["k", "v"]).collect() == [(1, "a")]
+
+
+def test_owners_lift_high_but_not_embargo(spark):
+    from skeinflow.operators import gate
+
+    rows = [(k, s, "policy", "withhold", 5.0, 30, True) for k, s in enumerate(["high", "embargoed", "moderate"])]
+    decisions = spark.createDataFrame(rows, "k int, sensitivity string, reason string, decision string, grid double, delay_days int, drop_ids boolean")
+    own = spark.createDataFrame([(k, 1.0, 0, False) for k in range(3)], "k int, own_grid double, own_delay_days int, own_drop_ids boolean")
+    got = {r.k: (r.decision, r.grid, r.delay_days, r.drop_ids) for r in gate.with_permission(decisions, own, ["k"]).collect()}
+    assert got == {0: ("publish", 5.0, 0, False), 1: ("withhold", 5.0, 30, True), 2: ("withhold", 5.0, 0, False)}
