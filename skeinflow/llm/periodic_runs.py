@@ -147,21 +147,22 @@ def strongest(runs: Column) -> Column:
     return F.aggregate(runs, F.lit(None).cast(_RUN), lambda best, r: F.when(better(best, r), r).otherwise(best))
 
 
-def planted(text: Column, doc_id: Column) -> Column:
-    """The text, made periodic from some word on where crc32 of the id ends in 0."""
-    ws = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    g = F.floor(F.crc32(doc_id.cast("string")) / 10)
-    n = F.size(ws)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    spot = lambda i: F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i)
-    made = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, spot(i).cast("int"))), " ")
-    return F.when((F.pmod(F.crc32(doc_id.cast("string")), F.lit(10)) == 0) & (n > 0), made).otherwise(text)
+def planted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the texts made periodic from some word on where crc32 of the id ends in 0."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    split = F.when(F.pmod(crc, F.lit(10)) == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    ws, n, g = F.col("ws"), F.size("ws"), F.floor(crc / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(ws, a + 1, p), times)), F.lit(1), n - a)
+    made = F.array_join(F.concat(F.slice(ws, F.lit(1), a), tail), " ")
+    return docs.select("doc_id", "text", split.alias("ws")).select("doc_id", F.when(n > 0, made).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))
-    out = periodic_runs(docs).withColumn("best", strongest(F.col("runs")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = periodic_runs(planted(docs)).withColumn("best", strongest(F.col("runs")))
     line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
     runs = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
     exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
