@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention_quality, bpe, bwt_dedup, chat, divergence_rules, mixing, near_dedup, periodic_runs, ppm, sketch_dedup, trie_dedup
+from . import attention_quality, bpe, bwt_dedup, chat, divergence_rules, mixing, near_dedup, periodic_runs, ppm, sketch_dedup, tree_bpe, trie_dedup
 
 _MODULES = {
     "op1_attention_quality": attention_quality,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_hypergeometric_mixing": mixing,
     "op9_minhash_near_dedup": near_dedup,
     "op10_bwt_substring_dedup": bwt_dedup,
+    "op11_tree_bpe": tree_bpe,
     "op12_periodic_runs": periodic_runs,
 }
 QUERIES = {name: getattr(module, name) for name, module in _MODULES.items()}
