@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention_quality, bpe, bwt_dedup, chat, divergence_rules, mixing, near_dedup, periodic_runs, ppm, sketch_dedup, tree_bpe, trie_dedup
+from . import attention_quality, bpe, bwt_dedup, chat, divergence_rules, hard_negatives, mixing, near_dedup, periodic_runs, ppm, sketch_dedup, tree_bpe, trie_dedup
 
 _MODULES = {
     "op1_attention_quality": attention_quality,
@@ -17,6 +17,7 @@ _MODULES = {
     "op10_bwt_substring_dedup": bwt_dedup,
     "op11_tree_bpe": tree_bpe,
     "op12_periodic_runs": periodic_runs,
+    "op13_rns_hard_negatives": hard_negatives,
 }
 QUERIES = {name: getattr(module, name) for name, module in _MODULES.items()}
 SQL = {name: module.SQL for name, module in _MODULES.items() if module.SQL is not None}
