@@ -69,30 +69,31 @@ def statement(grid: Column, delay_days: Column, drop_ids: Column) -> Column:
 def with_permission(decisions: DataFrame, permissions: DataFrame, keys: list[str]) -> DataFrame:
     """Decisions under what owners permit (keys, own_grid, own_delay_days, own_drop_ids).
 
-    An embargo stays. Elsewhere delay and identifiers are the owner's, the grid is the
-    coarser of both (none of the owner's: the policy's), and a withholding by policy of
-    a high sensitivity is lifted.
+    An embargo stays. Elsewhere delay and identifiers are the owner's (no delay: none;
+    nothing said of identifiers: they go), the grid is the coarser of both (none of the
+    owner's: the policy's), and a withholding by policy of a high sensitivity is lifted.
     """
-    d = decisions.join(permissions, keys, "left")
-    given = F.col("own_delay_days").isNotNull() & (F.col("sensitivity") != "embargoed")
+    d = decisions.join(permissions.withColumn("_given", F.lit(True)), keys, "left")
+    given = F.col("_given").isNotNull() & (F.col("sensitivity") != "embargoed")
     lifted = given & (F.col("sensitivity") == "high") & (F.col("reason") == "policy")
     return d.withColumns({
         "grid": F.when(given, F.greatest("grid", "own_grid")).otherwise(F.col("grid")),
-        "delay_days": F.when(given, F.col("own_delay_days")).otherwise(F.col("delay_days")),
-        "drop_ids": F.when(given, F.col("own_drop_ids")).otherwise(F.col("drop_ids")),
+        "delay_days": F.when(given, F.greatest(F.coalesce("own_delay_days", F.lit(0)), F.lit(0))).otherwise(F.col("delay_days")),
+        "drop_ids": F.when(given, F.coalesce("own_drop_ids", F.lit(True))).otherwise(F.col("drop_ids")),
         "decision": F.when(lifted, "publish").otherwise(F.col("decision")),
         "reason": F.when(~F.coalesce(lifted, F.lit(False)), F.col("reason")),
-    }).drop("own_grid", "own_delay_days", "own_drop_ids")
+    }).drop("own_grid", "own_delay_days", "own_drop_ids", "_given")
 
 
 def export_taxa(cells: DataFrame, decisions: DataFrame, taxon: str, lon: str, lat: str, value: str, *, least_cells: int = 3) -> tuple[DataFrame, DataFrame]:
     """Published cells of each taxon on its own grid, and the taxa that are left out with the reason.
 
-    decisions: taxon, decision, grid (degrees). A taxon of fewer than ``least_cells``
-    cells on its grid is too small to publish.
+    decisions: taxon, decision, grid (degrees; null leaves positions as they are). A
+    taxon of fewer than ``least_cells`` cells on its grid is too small to publish.
     """
     d = cells.join(decisions.select(taxon, "decision", "grid"), taxon)
-    own = d.where("decision = 'publish'").withColumns({lon: snap(F.col(lon), F.col("grid")), lat: snap(F.col(lat), F.col("grid"))})
+    on_grid = lambda c: F.when(F.col("grid").isNull(), F.col(c)).otherwise(snap(F.col(c), F.col("grid")))
+    own = d.where("decision = 'publish'").withColumns({lon: on_grid(lon), lat: on_grid(lat)})
     merged = merged_cells(own, [taxon], lon, lat, value)
     size = merged.groupBy(taxon).agg(F.count("*").alias("cells"))
     out = merged.join(size.where(F.col("cells") >= least_cells), taxon, "left_semi")

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.lake import floor_match, plain_name
+
 
 def plausible(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Rows whose values lie in closed ranges; null is not plausible."""
@@ -28,9 +30,9 @@ def spanning(df: DataFrame, keys: Sequence[str], time: str, years: int = 2) -> D
 
 
 def admit_rows(df: DataFrame, key: str, name: str, floor_keys: Sequence[int], floor_names: Sequence[str]) -> DataFrame:
-    """df with refusal: null if a row may enter, else why not."""
-    at_floor = F.coalesce(F.col(key).isin(list(floor_keys)), F.lit(False)) | F.coalesce(F.lower(F.trim(name)).isin([x.strip().lower() for x in floor_names]), F.lit(False))
-    return df.withColumn("refusal", F.when(F.col(key).isNull() & F.col(name).isNull(), "no key and no name").when(at_floor, "never stored"))
+    """df with refusal: null if a row may enter, else why not; a name of blanks is no name."""
+    unknown = F.col(key).isNull() & plain_name(F.col(name)).isNull()
+    return df.withColumn("refusal", F.when(unknown, "no key and no name").when(floor_match(F.col(key), F.col(name), floor_keys, floor_names), "never stored"))
 
 
 def floor_report(df: DataFrame, source: str, label: str, year: Column) -> DataFrame:

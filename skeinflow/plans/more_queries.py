@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import atlas, gate, grids, hygiene, panels, passage, ranges
+from ..sources import lake
 from .registry import _CARDS, _FIX, _PLACE, _QUANTILES, _SNAP, _STATION, _SURVEY, _fixes, _quantiles, _r, _stations, _surface, _survey, _t, query
 
 _PANEL = "SELECT l_suppkey, year, q50_doy FROM pq WHERE q50_doy IS NOT NULL"
@@ -148,18 +149,25 @@ def spanning_keys(spark, sf_dir):
     return hygiene.spanning(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", 6).groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
+_NAMED = "n AS (SELECT p_size, p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey END AS k, CASE p_partkey % 7 WHEN 0 THEN '   ' WHEN 1 THEN upper(p_brand) || '  X ' WHEN 2 THEN p_brand || ' x' WHEN 3 THEN NULL ELSE p_brand END AS name FROM part), a AS (SELECT *, nullif(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), '') AS plain FROM n), f AS (SELECT *, CASE WHEN k IS NULL AND plain IS NULL THEN 'no key and no name' WHEN coalesce(k IN (7, 11, 13), false) OR coalesce(plain IN ('brand#12', 'brand#33 x'), false) THEN 'never stored' END AS refusal FROM a)"
+
+
 def _admitted(spark, sf_dir):
-    return hygiene.admit_rows(_t(spark, sf_dir, "part"), "p_partkey", "p_brand", [7, 11, 13], [" brand#12", "BRAND#33"])
+    """Parts under names with blanks, double spaces and capitals, some without key or name."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    name = F.when(k % 7 == 0, "   ").when(k % 7 == 1, F.concat(F.upper(brand), F.lit("  X "))).when(k % 7 == 2, F.concat(brand, F.lit(" x"))).when(k % 7 != 3, brand)
+    named = _t(spark, sf_dir, "part").select("p_size", "p_partkey", F.when(k % 5 != 0, k).alias("k"), name.alias("name"))
+    return hygiene.admit_rows(named, "k", "name", [7, 11, 13], [" brand#12", "BRAND#33   X"])
 
 
-@query("SELECT CASE WHEN p_partkey IS NULL AND p_brand IS NULL THEN 'no key and no name' WHEN coalesce(p_partkey IN (7, 11, 13), false) OR coalesce(lower(trim(p_brand)) IN ('brand#12', 'brand#33'), false) THEN 'never stored' END AS refusal, count(*) AS n FROM part GROUP BY 1")
+@query(f"WITH {_NAMED} SELECT refusal, count(*) AS n FROM f GROUP BY 1")
 def admitted_rows(spark, sf_dir):
     return _admitted(spark, sf_dir).groupBy("refusal").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_size, count(*) AS rows, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS labels, string_agg(DISTINCT p_partkey % 3 + 1990, ',' ORDER BY p_partkey % 3 + 1990) AS years FROM part WHERE p_partkey IN (7, 11, 13) OR lower(trim(p_brand)) IN ('brand#12', 'brand#33') GROUP BY 1")
+@query(f"WITH {_NAMED} SELECT p_size, count(*) AS rows, coalesce(string_agg(DISTINCT plain, ',' ORDER BY plain), '') AS labels, string_agg(DISTINCT p_partkey % 3 + 1990, ',' ORDER BY p_partkey % 3 + 1990) AS years FROM f WHERE refusal = 'never stored' GROUP BY 1")
 def floor_report(spark, sf_dir):
-    return hygiene.floor_report(_admitted(spark, sf_dir), "p_size", "p_brand", F.col("p_partkey") % 3 + 1990)
+    return hygiene.floor_report(_admitted(spark, sf_dir).withColumn("plain", lake.plain_name(F.col("name"))), "p_size", "plain", F.col("p_partkey") % 3 + 1990)
 
 
 @query("SELECT DISTINCT c_nationkey, CASE WHEN n_nationkey IS NULL THEN 'unregistered' WHEN n_regionkey = 0 THEN 'unclassified' WHEN n_regionkey = 1 THEN 'unlicensed' END AS refusal FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey <> 4")
@@ -284,14 +292,14 @@ def date_drift(spark, sf_dir):
     return _r(passage.trend_with_error(y, ["taxon"], "year", "d", min_n=4).select("taxon", "slope", "se"), "slope", "se")
 
 
-_DECIDED = "q AS (SELECT c_mktsegment AS taxon, CASE WHEN count(*) % 2 = 0 THEN 'publish' ELSE 'withhold' END AS decision, 5.0 * (1 + length(c_mktsegment) % 3) AS grid FROM customer GROUP BY 1)"
+_DECIDED = "q AS (SELECT c_mktsegment AS taxon, CASE WHEN count(*) % 2 = 0 THEN 'publish' ELSE 'withhold' END AS decision, CASE WHEN length(c_mktsegment) <> 9 THEN 5.0 * (1 + length(c_mktsegment) % 3) END AS grid FROM customer GROUP BY 1)"
 
 
 def _decided(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("taxon")).agg(F.when(F.count("*") % 2 == 0, "publish").otherwise("withhold").alias("decision"), (5.0 * (1 + F.max(F.length("c_mktsegment")) % 3)).alias("grid"))
+    return _t(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("taxon")).agg(F.when(F.count("*") % 2 == 0, "publish").otherwise("withhold").alias("decision"), F.when(F.max(F.length("c_mktsegment")) != 9, 5.0 * (1 + F.max(F.length("c_mktsegment")) % 3)).alias("grid"))
 
 
-@query(f"WITH c AS (SELECT {_PLACE} FROM customer), {_DECIDED} SELECT * FROM (SELECT taxon, {_SNAP.format('lon', 'grid')}::DOUBLE AS lon, {_SNAP.format('lat', 'grid')}::DOUBLE AS lat, round(sum(value), 3) AS value FROM c JOIN q USING (taxon) WHERE decision = 'publish' GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY taxon) >= 3")
+@query(f"WITH c AS (SELECT {_PLACE} FROM customer), {_DECIDED} SELECT * FROM (SELECT taxon, coalesce({_SNAP.format('lon', 'grid')}, lon)::DOUBLE AS lon, coalesce({_SNAP.format('lat', 'grid')}, lat)::DOUBLE AS lat, round(sum(value), 3) AS value FROM c JOIN q USING (taxon) WHERE decision = 'publish' GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY taxon) >= 3")
 def exported_taxa(spark, sf_dir):
     out, _ = gate.export_taxa(_surface(spark, sf_dir).drop("k"), _decided(spark, sf_dir), "taxon", "lon", "lat", "value")
     return _r(out, "value", places=3)
@@ -303,11 +311,11 @@ def withheld_taxa(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, (CASE WHEN given THEN greatest(5.0, own_grid) ELSE 5.0 END)::DOUBLE AS grid, (CASE WHEN given THEN own_delay ELSE 30 END)::INTEGER AS delay_days, CASE WHEN reason IS NULL OR given AND sensitivity = 'high' THEN 'publish' ELSE 'withhold' END AS decision
-FROM (SELECT *, permitted AND sensitivity <> 'embargoed' AS given FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'embargoed' ELSE 'low' END AS sensitivity, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'policy' END AS reason, o_custkey % 3 = 0 AS permitted, CASE WHEN o_custkey % 2 = 0 THEN 10.0 END AS own_grid, o_custkey % 7 AS own_delay FROM orders))""")
+FROM (SELECT *, permitted AND sensitivity <> 'embargoed' AS given FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'embargoed' ELSE 'low' END AS sensitivity, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'policy' END AS reason, o_custkey % 3 = 0 AS permitted, CASE WHEN o_custkey % 2 = 0 THEN 10.0 END AS own_grid, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 7 ELSE 0 END AS own_delay FROM orders))""")
 def owner_permissions(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     status = F.col("o_orderstatus")
     reason = F.when(status.isin("F", "O"), "policy")
     decisions = o.select("o_orderkey", "o_custkey", F.when(status == "F", "high").when(status == "O", "embargoed").otherwise("low").alias("sensitivity"), reason.alias("reason"), F.when(reason.isNull(), "publish").otherwise("withhold").alias("decision"), F.lit(5.0).alias("grid"), F.lit(30).alias("delay_days"), F.lit(True).alias("drop_ids"))
-    permissions = o.where("o_custkey % 3 = 0").select("o_custkey", F.when(F.col("o_custkey") % 2 == 0, F.lit(10.0)).alias("own_grid"), (F.col("o_custkey") % 7).cast("int").alias("own_delay_days"), F.lit(False).alias("own_drop_ids")).distinct()
+    permissions = o.where("o_custkey % 3 = 0").select("o_custkey", F.when(F.col("o_custkey") % 2 == 0, F.lit(10.0)).alias("own_grid"), F.when(F.col("o_custkey") % 5 != 0, (F.col("o_custkey") % 7).cast("int")).alias("own_delay_days"), F.lit(False).alias("own_drop_ids")).distinct()
     return gate.with_permission(decisions, permissions, ["o_custkey"]).select("o_orderkey", "grid", "delay_days", "decision")

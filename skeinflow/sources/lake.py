@@ -79,10 +79,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def floor_match(key: Column, label: Column, keys: list[int], names: list[str]) -> Column:
-    """Whether a taxon must never be stored: by key, or by name in lower case with single spaces."""
-    plain = F.trim(F.regexp_replace(F.lower(label), r"\s+", " "))
-    return F.coalesce(key.isin(keys), F.lit(False)) | F.coalesce(plain.isin(names), F.lit(False))
+def plain_name(label: Column) -> Column:
+    """Lower case, single spaces, none at the ends; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(label), r"[\s\p{Z}]+", " ")), F.lit(""))
+
+
+def floor_match(key: Column, label: Column, keys: Sequence[int], names: Sequence[str]) -> Column:
+    """Whether a taxon must never be stored: by key, or by name, both names made plain."""
+    wanted = [" ".join(x.lower().split()) for x in names]
+    return F.coalesce(key.isin(list(keys)), F.lit(False)) | F.coalesce(plain_name(label).isin(wanted), F.lit(False))
 
 
 def day_gaps(df: DataFrame, day: Column, keys: Sequence[str] = ()) -> DataFrame:

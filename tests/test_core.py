@@ -6,10 +6,10 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from skeinflow.functions import geo
-from skeinflow.operators import atlas, gate, inference, passage, ranges, tracks
+from skeinflow.operators import atlas, gate, hygiene, inference, passage, ranges, tracks
 from skeinflow.plans import registry
 from skeinflow.sources import lake
 
@@ -173,3 +173,39 @@ def test_owners_lift_high_but_not_embargo(spark):
     own = spark.createDataFrame([(k, 1.0, 0, False) for k in range(3)], "k int, own_grid double, own_delay_days int, own_drop_ids boolean")
     got = {r.k: (r.decision, r.grid, r.delay_days, r.drop_ids) for r in gate.with_permission(decisions, own, ["k"]).collect()}
     assert got == {0: ("publish", 5.0, 0, False), 1: ("withhold", 5.0, 30, True), 2: ("withhold", 5.0, 0, False)}
+
+
+def test_admission_takes_blanks_for_no_name_and_collapses_spaces(spark):
+    rows = [(1, None), (None, "  \u00a0 "), (None, None), (None, "Homo  sapiens"), (9, "x"), (None, " homo\tSAPIENS "), (2, ""), (None, "Homo sapiens idaltu")]
+    df = spark.createDataFrame(rows, "k int, n string")
+    got = [r.refusal for r in hygiene.admit_rows(df, "k", "n", [9], ["Homo sapiens "]).collect()]
+    assert got == [None, "no key and no name", "no key and no name", "never stored", "never stored", "never stored", None, None]
+
+
+def test_taxa_without_a_grid_keep_their_cells(spark):
+    cells = spark.createDataFrame([("a", 0.1 * i, 0.2 * i, 1.0) for i in range(5)] + [("b", 0.1 * i, 0.2, 1.0) for i in range(5)], "t string, lon double, lat double, v double")
+    out, left = gate.export_taxa(cells, spark.createDataFrame([("a", "publish", None), ("b", "publish", 10.0)], "t string, decision string, grid double"), "t", "lon", "lat", "v")
+    assert sorted(r.lon for r in out.collect()) == pytest.approx([0.1 * i for i in range(5)])
+    assert [tuple(r) for r in left.collect()] == [("b", "too small")]
+
+
+def test_a_permission_without_a_delay_is_a_permission(spark):
+    d = spark.createDataFrame([(1, "high", "policy", "withhold", 1.0, 30, True), (2, "low", None, "publish", 1.0, 30, True)], "k int, sensitivity string, reason string, decision string, grid double, delay_days int, drop_ids boolean")
+    own = spark.createDataFrame([(1, None, None, None)], "k int, own_grid double, own_delay_days int, own_drop_ids boolean")
+    got = {r.k: r for r in gate.with_permission(d, own, ["k"]).collect()}
+    assert (got[1].decision, got[1].reason, got[1].delay_days, got[1].drop_ids) == ("publish", None, 0, True)
+    assert (got[2].decision, got[2].delay_days) == ("publish", 30)
+
+
+def test_geometry_of_cells(spark):
+    row = spark.range(1).select(
+        geo.floor_cell(F.lit(-0.3), 0.25).alias("floor"),
+        geo.flat_km(F.lit(60.0), F.lit(0.0), F.lit(60.0), F.lit(1.0)).alias("flat"),
+        F.sum(geo.cell_area_km2(F.lit(0.5), 1.0)).over(Window.partitionBy("id")).alias("area"),
+        geo.cell_id(F.lit(0.5), F.lit(-1.25)).alias("id4"),
+        geo.wrap_longitude(F.lit(190.0)).alias("lon"),
+    ).first()
+    assert (row.floor, row.id4, row.lon) == (-0.375, "0.5000_-1.2500", -170.0)
+    assert row.flat == pytest.approx(55.66) and row.area == pytest.approx(12363.7, abs=1)
+    globe = spark.range(180).select(F.sum(360 * geo.cell_area_km2(F.col("id") - 89.5, 1.0)).alias("a")).first().a
+    assert globe == pytest.approx(4 * math.pi * geo.EARTH_KM**2)
