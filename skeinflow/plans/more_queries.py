@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import atlas, gate, grids, hygiene, panels, passage, ranges
 from ..sources import lake
-from .registry import _CARDS, _FIX, _PLACE, _QUANTILES, _SNAP, _STATION, _SURVEY, _fixes, _quantiles, _r, _stations, _surface, _survey, _t, query
+from .registry import _FIX, _OWN_CELLS, _PLACE, _QUANTILES, _SNAP, _STATION, _SURVEY, _fixes, _quantiles, _r, _stations, _surface, _survey, _t, card_cells, query
 
 _PANEL = "SELECT l_suppkey, year, q50_doy FROM pq WHERE q50_doy IS NOT NULL"
 
@@ -208,67 +208,79 @@ def widest_ranging(spark, sf_dir):
     return hygiene.top_rows(d, [F.desc("cells"), F.col("p_brand")], 12)
 
 
-_EPOCHS = f"""{_CARDS.replace('month(o_orderdate)', "(year(o_orderdate) >= 1998)::INT")}, e AS (SELECT cell, month AS epoch, count(DISTINCT card) AS n FROM c GROUP BY ALL), r AS (SELECT cell, month AS epoch, species, count(DISTINCT card) AS k FROM c GROUP BY ALL),
+_EPOCH = "(year(o_orderdate) >= 1998)"
+_EPOCHS = f"""{_OWN_CELLS.replace('month(o_orderdate)', f"{_EPOCH}::INT")}, e AS (SELECT cell, month AS epoch, count(DISTINCT card) AS n FROM c GROUP BY ALL), r AS (SELECT cell, month AS epoch, species, count(DISTINCT card) AS k FROM c GROUP BY ALL),
 d AS (SELECT s.species, e.epoch, e.cell, coalesce(r.k, 0) AS k, e.n FROM e CROSS JOIN (SELECT DISTINCT species FROM c) AS s LEFT JOIN r ON r.cell = e.cell AND r.epoch = e.epoch AND r.species = s.species),
-f AS (SELECT species, epoch, count(*) AS cells, count_if(k > 0) AS seen, count_if(k > 0)::DOUBLE / count(*) AS psi, sum(k)::DOUBLE / sum(n) FILTER (k > 0) AS p FROM d GROUP BY ALL)"""
+own AS (SELECT species, epoch, count(*) AS cells, count_if(k > 0) AS seen, sum(k)::DOUBLE AS ks, (sum(n) FILTER (k > 0))::DOUBLE AS ns FROM d GROUP BY ALL), silent AS (SELECT species, epoch, n AS m, count(*) AS c FROM d WHERE k = 0 GROUP BY ALL),
+em AS (SELECT species, epoch, 0 AS i, seen::DOUBLE / cells AS psi, least(ks / ns, 0.999) AS p FROM own WHERE seen > 0
+  UNION ALL
+  SELECT species, epoch, i + 1, (any_value(seen) + coalesce(sum(z), 0)) / any_value(cells), any_value(ks) / (any_value(ns) + coalesce(sum(z * m), 0))
+  FROM (SELECT em.species, em.epoch, em.i, seen, cells, ks, ns, m, c * psi * pow(1 - p, m) / (psi * pow(1 - p, m) + 1 - psi) AS z FROM em JOIN own USING (species, epoch) LEFT JOIN silent USING (species, epoch) WHERE em.i < 100) GROUP BY species, epoch, i),
+f AS (SELECT own.species, own.epoch, own.cells, own.seen, ks, ns, coalesce(psi, 0) AS psi, p FROM own LEFT JOIN (SELECT * FROM em WHERE i = 100) AS fit USING (species, epoch))"""
 
 
-def _draws(spark, sf_dir):
-    """Cards with each species and cards in all, by cell and epoch; silent cells are filled."""
-    orders, items, parts = (_t(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
-    c = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("p_partkey") == F.col("l_partkey"))
-    c = c.select(F.col("o_orderkey").alias("card"), (F.col("o_custkey") % 100).alias("cell"), (F.year("o_orderdate") >= 1998).cast("int").alias("epoch"), F.col("p_brand").alias("species"))
-    rates = atlas.reporting_rates(c, ["cell", "epoch"], "card", "species")
-    effort = rates.groupBy("cell", "epoch").agg(F.max("cards").alias("n"))
-    grid = effort.crossJoin(F.broadcast(rates.select("species").distinct()))  # a row per species, bounded by the list of taxa
-    return grid.join(rates.select("cell", "epoch", "species", F.col("cards_with").alias("k")), ["cell", "epoch", "species"], "left").fillna({"k": 0})
+def _cells_by_epoch(spark, sf_dir):
+    return card_cells(spark, sf_dir, f"int({_EPOCH})")
 
 
-def _naive(draws):
-    seen = F.col("k") > 0
-    f = draws.groupBy("species", "epoch").agg(F.count("*").alias("cells"), F.sum(seen.cast("int")).alias("seen"), F.sum("k").alias("ks"), F.sum(F.when(seen, F.col("n"))).alias("ns"))
-    return f.select("species", "epoch", "cells", "seen", (F.col("seen") / F.col("cells")).alias("psi"), (F.col("ks") / F.col("ns")).alias("p"))
+def _sums(spark, sf_dir):
+    detections, effort = _cells_by_epoch(spark, sf_dir)
+    return atlas.card_sums(detections, effort, "species", ["epoch"], "k", "n")
 
 
-@query(f"WITH {_EPOCHS} SELECT species, epoch, round(sum(CASE WHEN k > 0 THEN ln(psi) + k * ln(p) + CASE WHEN n > k THEN (n - k) * ln(1 - p) ELSE 0 END ELSE ln(psi * pow(1 - p, n) + 1 - psi) END), 3) AS loglik FROM d JOIN f USING (species, epoch) WHERE seen > 0 GROUP BY ALL")
+@query(f"WITH RECURSIVE {_EPOCHS} SELECT species, epoch, round(sum(CASE WHEN k > 0 THEN ln(psi) + k * ln(p) + CASE WHEN n > k THEN (n - k) * ln(1 - p) ELSE 0 END ELSE ln(psi * pow(1 - p, n) + 1 - psi) END), 3) AS loglik FROM d JOIN f USING (species, epoch) WHERE seen > 0 GROUP BY ALL")
 def occupancy_likelihood(spark, sf_dir):
-    d = _draws(spark, sf_dir)
-    each = d.join(_naive(d).where("seen > 0"), ["species", "epoch"])
-    return _r(each.groupBy("species", "epoch").agg(F.sum(atlas.log_likelihood(F.col("k"), F.col("n"), F.col("psi"), F.col("p"))).alias("loglik")), "loglik", places=3)
-
-
-@query(f"WITH {_EPOCHS} SELECT cell, max(n) FILTER (epoch = 0) AS cards_first, max(n) FILTER (epoch = 1) AS cards_second FROM e WHERE n >= 20 GROUP BY 1 HAVING count(*) = 2")
+    sums = _sums(spark, sf_dir)
+    fits = atlas.fit_occupancy(sums, ["species", "epoch"]).where("seen > 0").select("species", "epoch", "psi", "p")
+    return _r(sums.join(fits, ["species", "epoch"]).select("species", "epoch", atlas.sums_likelihood(F.col("psi"), F.col("p")).alias("loglik")), "loglik", places=3)
+
+
+@query(f"""WITH RECURSIVE {_EPOCHS}, l AS (SELECT species, epoch, seen, psi, seen * ln(psi) + ks * ln(p) + CASE WHEN ns > ks THEN (ns - ks) * ln(1 - p) ELSE 0 END + coalesce((SELECT sum(c * ln(psi * pow(1 - p, m) + 1 - psi)) FROM silent WHERE silent.species = f.species AND silent.epoch = f.epoch), 0) - 1.920729410347062 AS mark FROM f WHERE seen > 0),
+grid AS (SELECT species, epoch, unnest(range(1, 100)) / 100.0::DOUBLE AS x FROM l),
+pm AS (SELECT species, epoch, x, 0 AS i, least(ks / ns, 0.999) AS p FROM grid JOIN own USING (species, epoch)
+  UNION ALL
+  SELECT species, epoch, x, i + 1, any_value(ks) / (any_value(ns) + coalesce(sum(c * m * x * pow(1 - p, m) / (x * pow(1 - p, m) + 1 - x)), 0)) FROM pm JOIN own USING (species, epoch) LEFT JOIN silent USING (species, epoch) WHERE i < 100 GROUP BY species, epoch, x, i),
+curve AS (SELECT species, epoch, x, any_value(seen) * ln(x) + any_value(ks) * ln(p) + CASE WHEN any_value(ns) > any_value(ks) THEN (any_value(ns) - any_value(ks)) * ln(1 - p) ELSE 0 END + coalesce(sum(c * ln(x * pow(1 - p, m) + 1 - x)), 0) AS y FROM pm JOIN own USING (species, epoch) LEFT JOIN silent USING (species, epoch) WHERE i = 100 GROUP BY species, epoch, x, p),
+o AS (SELECT species, epoch, psi, x, y - mark AS over FROM curve JOIN l USING (species, epoch) UNION ALL SELECT species, epoch, psi, psi, 1.920729410347062 FROM l),
+b AS (SELECT species, epoch, any_value(psi) AS psi, max(x) FILTER (x < psi AND over < 0) AS a1, arg_max(over, x) FILTER (x < psi AND over < 0) AS o1, min(x) FILTER (over >= 0) AS a2, arg_min(over, x) FILTER (over >= 0) AS o2, max(x) FILTER (over >= 0) AS a3, arg_max(over, x) FILTER (over >= 0) AS o3, min(x) FILTER (x > psi AND over < 0) AS a4, arg_min(over, x) FILTER (x > psi AND over < 0) AS o4 FROM o GROUP BY ALL)
+SELECT species, epoch, round(psi, 4) AS psi, round(coalesce(a1 + (a2 - a1) * o1 / (o1 - o2), 0), 4) AS low, round(CASE WHEN a4 IS NULL THEN 1 ELSE a3 + (a4 - a3) * o3 / (o3 - o4) END, 4) AS high FROM b""")
+def occupancy_interval(spark, sf_dir):
+    sums = _sums(spark, sf_dir).where("seen > 0")
+    return _r(atlas.profile_interval(sums, ["species", "epoch"]), "psi", "low", "high", places=4)
+
+
+@query(f"WITH RECURSIVE {_EPOCHS} SELECT cell, max(n) FILTER (epoch = 0) AS cards_first, max(n) FILTER (epoch = 1) AS cards_second FROM e WHERE n >= 5 GROUP BY 1 HAVING count(*) = 2")
 def paired_footprint(spark, sf_dir):
-    d = _draws(spark, sf_dir).select("cell", "epoch", "n").distinct()
-    return atlas.paired_footprint(d, "cell", "epoch", "n")
+    return atlas.paired_footprint(_cells_by_epoch(spark, sf_dir)[1], "cell", "epoch", "n", least=5)
 
 
 _CHANGES = f"{_EPOCHS}, g AS (SELECT a.species, a.seen AS seen_first, b.seen AS seen_second, b.psi - a.psi AS d_psi, b.seen::DOUBLE / b.cells - a.seen::DOUBLE / a.cells AS d_naive, b.p - a.p AS d_p, a.psi > 0.999 OR b.psi > 0.999 AS boundary FROM f AS a JOIN f AS b ON a.species = b.species AND a.epoch = 0 AND b.epoch = 1 WHERE a.seen >= 30)"
 
 
 def _changes(spark, sf_dir):
-    return atlas.epoch_changes(_naive(_draws(spark, sf_dir)), "species", "epoch")
+    return atlas.epoch_changes(atlas.fit_occupancy(_sums(spark, sf_dir), ["species", "epoch"]), "species", "epoch")
 
 
-@query(f"WITH {_CHANGES} SELECT species, seen_first, seen_second, round(d_psi, 5) AS d_psi, round(d_naive, 5) AS d_naive, round(d_p, 5) AS d_p, boundary FROM g")
+@query(f"WITH RECURSIVE {_CHANGES} SELECT species, seen_first, seen_second, round(d_psi, 5) AS d_psi, round(d_naive, 5) AS d_naive, round(d_p, 5) AS d_p, boundary FROM g")
 def epoch_changes(spark, sf_dir):
     return _r(_changes(spark, sf_dir), "d_psi", "d_naive", "d_p")
 
 
-@query(f"WITH {_CHANGES} SELECT count(*) AS taxa, round(median(d_psi), 5) AS median_d_psi, round(median(d_p), 5) AS median_d_p, round(avg((d_p > 0)::INT), 5) AS p_rose, count_if(abs(d_psi) > 0.02 AND abs(d_naive) > 0.02 AND sign(d_psi) <> sign(d_naive)) AS sign_flips FROM g")
+@query(f"WITH RECURSIVE {_CHANGES} SELECT count(*) AS taxa, round(median(d_psi), 5) AS median_d_psi, round(median(d_p), 5) AS median_d_p, round(avg((d_p > 0)::INT), 5) AS p_rose, count_if(abs(d_psi) > 0.02 AND abs(d_naive) > 0.02 AND sign(d_psi) <> sign(d_naive)) AS sign_flips, round(corr(d_psi, d_naive), 4) AS r FROM g")
 def epoch_change_summary(spark, sf_dir):
-    return _r(atlas.change_summary(_changes(spark, sf_dir)).drop("r"), "median_d_psi", "median_d_p", "p_rose")
+    return _r(_r(atlas.change_summary(_changes(spark, sf_dir)), "median_d_psi", "median_d_p", "p_rose"), "r", places=4)
 
 
-@query(f"WITH {_CHANGES} SELECT species, seen_second FROM g WHERE seen_second < 101")
+@query(f"WITH RECURSIVE {_CHANGES} SELECT species, seen_second FROM g WHERE seen_second < 800")
 def dropped_by_stricter_rule(spark, sf_dir):
-    return atlas.dropped_by_stricter_rule(_changes(spark, sf_dir), least_seen=101).select("species", "seen_second")
+    return atlas.dropped_by_stricter_rule(_changes(spark, sf_dir), least_seen=800).select("species", "seen_second")
 
 
-@query(f"WITH {_EPOCHS} SELECT cell, count_if(k > 0) AS recorded, round(sum(CASE WHEN k > 0 THEN 1 WHEN psi * pow(1 - coalesce(p, 0), n) + 1 - psi = 0 THEN 0 ELSE psi * pow(1 - coalesce(p, 0), n) / (psi * pow(1 - coalesce(p, 0), n) + 1 - psi) END), 4) AS expected FROM d JOIN f USING (species, epoch) WHERE epoch = 0 GROUP BY 1")
+@query(f"WITH RECURSIVE {_EPOCHS} SELECT cell, count_if(k > 0) AS recorded, round(sum(CASE WHEN k > 0 THEN 1 WHEN psi * pow(1 - coalesce(p, 0), n) + 1 - psi = 0 THEN 0 ELSE psi * pow(1 - coalesce(p, 0), n) / (psi * pow(1 - coalesce(p, 0), n) + 1 - psi) END), 4) AS expected FROM d JOIN f USING (species, epoch) WHERE epoch = 0 GROUP BY 1")
 def expected_taxa(spark, sf_dir):
-    d = _draws(spark, sf_dir)
-    return _r(atlas.expected_taxa(d.where("epoch = 0"), _naive(d).where("epoch = 0"), "species", "cell", "k", "n"), "expected", places=4)
+    detections, effort = (x.where("epoch = 0") for x in _cells_by_epoch(spark, sf_dir))
+    fits = atlas.fit_occupancy(_sums(spark, sf_dir), ["species", "epoch"]).where("epoch = 0")
+    return _r(atlas.expected_taxa(detections, effort, fits, "species", "cell", "k", "n"), "expected", places=4)
 
 
 @query(f"WITH {_SURVEY}, o AS (SELECT year, site, avg(lat) AS v, avg(cpue) AS d FROM s GROUP BY ALL) SELECT year, count(*) AS sites, round(avg(v), 5) AS ambient, round(avg((v IS NOT NULL)::INT), 5) AS share, round(avg(d), 4) AS mean_doy FROM o GROUP BY 1")

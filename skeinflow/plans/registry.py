@@ -241,23 +241,32 @@ def pooled_effort(spark, sf_dir):
     return atlas.pooled_effort(reporting_rates(spark, sf_dir), ["cell", "month"], ["cell"], "cards")
 
 
-def _occupancy_input(spark, sf_dir):
-    rates = atlas.reporting_rates(_cards(spark, sf_dir), ["cell"], "card", "species")
-    cells = rates.groupBy("cell").agg(F.max("cards").alias("n"))
-    grid = cells.crossJoin(F.broadcast(rates.select("species").distinct()))
-    return grid.join(rates.select("cell", "species", F.col("cards_with").alias("k")), ["cell", "species"], "left").select("species", "cell", F.coalesce("k", F.lit(0)).alias("k"), "n")
+#: Cells are so small that many are silent for a species that lives there.
+_OWN_CELLS = _CARDS.replace("o_custkey % 100", "o_custkey")
 
 
-@query(f"""WITH RECURSIVE {_CARDS}, e AS (SELECT cell, count(DISTINCT card) AS n FROM c GROUP BY 1), r AS (SELECT cell, species, count(DISTINCT card) AS k FROM c GROUP BY ALL),
+def card_cells(spark, sf_dir, epoch=None):
+    """Cards with each species by cell (a customer), and cards in all; with epoch (an expression of the orders), for each of its values."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("card"), F.col("o_custkey").alias("cell"), F.expr(epoch or "0").alias("epoch"))
+    items = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    c = orders.join(items.select("l_orderkey", F.col("p_brand").alias("species")), F.col("l_orderkey") == F.col("card"))
+    rates = atlas.reporting_rates(c, ["cell", "epoch"], "card", "species").select("species", "epoch", "cell", F.col("cards_with").alias("k"), F.col("cards").alias("n"))
+    return rates, rates.groupBy("cell", "epoch").agg(F.max("n").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_OWN_CELLS}, e AS (SELECT cell, count(DISTINCT card) AS n FROM c GROUP BY 1), r AS (SELECT cell, species, count(DISTINCT card) AS k FROM c GROUP BY ALL),
 d AS (SELECT s.species, e.cell, coalesce(r.k, 0) AS k, e.n FROM e CROSS JOIN (SELECT DISTINCT species FROM c) AS s LEFT JOIN r ON r.cell = e.cell AND r.species = s.species),
 own AS (SELECT species, count(*) AS cells, count_if(k > 0) AS seen, sum(k)::DOUBLE AS ks, (sum(n) FILTER (k > 0))::DOUBLE AS ns FROM d GROUP BY 1), silent AS (SELECT species, n AS m, count(*) AS c FROM d WHERE k = 0 GROUP BY ALL),
 em AS (SELECT species, 0 AS i, seen::DOUBLE / cells AS psi, least(ks / ns, 0.999) AS p FROM own WHERE seen > 0
   UNION ALL
   SELECT species, i + 1, (any_value(seen) + coalesce(sum(z), 0)) / any_value(cells), any_value(ks) / (any_value(ns) + coalesce(sum(z * m), 0))
   FROM (SELECT em.species, em.i, seen, cells, ks, ns, m, c * psi * pow(1 - p, m) / (psi * pow(1 - p, m) + 1 - psi) AS z FROM em JOIN own USING (species) LEFT JOIN silent USING (species) WHERE em.i < 100) GROUP BY species, i)
-SELECT species, cells, seen, round(coalesce(psi, 0), 5) AS psi, round(p, 5) AS p FROM own LEFT JOIN (SELECT * FROM em WHERE i = 100) AS fit USING (species)""")
+SELECT species, cells, seen, round(coalesce(fit.psi, 0), 5) AS psi, round(fit.p, 5) AS p, coalesce(abs(fit.psi - before.psi) < 1e-6, false) AS converged, coalesce(abs(fit.psi - before.psi) < 1e-6, false) AND coalesce(fit.psi, 0) < 0.999 AS valid
+FROM own LEFT JOIN (SELECT * FROM em WHERE i = 100) AS fit USING (species) LEFT JOIN (SELECT * FROM em WHERE i = 99) AS before USING (species)""")
 def occupancy(spark, sf_dir):
-    return _r(atlas.occupancy(_occupancy_input(spark, sf_dir), ["species"], "k", "n"), "psi", "p")
+    detections, effort = card_cells(spark, sf_dir)
+    sums = atlas.card_sums(detections.drop("epoch"), effort.drop("epoch"), "species", [], "k", "n")
+    return _r(atlas.fit_occupancy(sums, ["species"]), "psi", "p")
 
 
 @query("WITH r AS (SELECT c_mktsegment AS g, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS a, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2.0 AS b FROM customer) SELECT g AS c_mktsegment, count(*) AS n, round(corr(a, b), 5) AS rho FROM r GROUP BY 1")
