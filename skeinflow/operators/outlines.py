@@ -62,6 +62,12 @@ def centre_offset(lon: Column, lat: Column, grid: float) -> Column:
     return F.greatest(off(lon, 180.0), off(lat, 90.0))
 
 
+def off_grid_report(cells: DataFrame, keys: Sequence[str], lon: str, lat: str, grid: float) -> DataFrame:
+    """(keys, worst, off_grid, n): the largest offset from a cell's centre, and how many positions lie off; a null position lies off."""
+    placed = F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    return cells.select(*keys, F.when(placed, centre_offset(F.col(lon), F.col(lat), grid)).alias("off")).groupBy(*keys).agg(F.max("off").alias("worst"), F.count_if(F.coalesce(F.col("off") > CENTRE_TOLERANCE, F.lit(True))).alias("off_grid"), F.count("*").alias("n"))
+
+
 def pack_grid(cells: DataFrame, keys: Sequence[str], lon: str, lat: str, value: str, grid: float, *, tile: int = 512) -> DataFrame:
     """(keys, tile_x, tile_y, x, y, v): cells as arrays of integer indices from the south-west corner, with their values.
 
@@ -70,10 +76,11 @@ def pack_grid(cells: DataFrame, keys: Sequence[str], lon: str, lat: str, value:
     centre of its cell would be moved by its index: the job that packs it fails. Null
     positions fail too; null values stay in their place.
     """
-    off = F.coalesce(centre_offset(F.col(lon), F.col(lat), grid), F.lit(1.0))
+    placed = F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    off = F.when(placed, centre_offset(F.col(lon), F.col(lat), grid)).otherwise(F.lit(1.0))
     worst = F.concat(F.lit("off the grid of "), F.lit(str(grid)), F.lit(" degrees: "), F.col(lon).cast("string"), F.lit(", "), F.col(lat).cast("string"))
-    sound = F.when(off <= CENTRE_TOLERANCE, F.lit(0)).otherwise(F.raise_error(F.coalesce(worst, F.lit("no position"))).cast("int"))
-    d = cells.select(*keys, (_index(F.col(lon), 180.0, grid) + sound).alias("x"), _index(F.col(lat), 90.0, grid).alias("y"), F.col(value).alias("v"))
+    refused = F.raise_error(F.coalesce(worst, F.lit("no position"))).cast("bigint")
+    d = cells.select(*keys, F.when(off <= CENTRE_TOLERANCE, _index(F.col(lon), 180.0, grid)).otherwise(refused).alias("x"), _index(F.col(lat), 90.0, grid).alias("y"), F.col(value).alias("v"))
     d = d.select(*keys, F.floor(F.col("x") / tile).cast("int").alias("tile_x"), F.floor(F.col("y") / tile).cast("int").alias("tile_y"), F.struct((F.col("y") % tile).cast("int").alias("y"), (F.col("x") % tile).cast("int").alias("x"), "v").alias("cell"))
     packed = d.groupBy(*keys, "tile_x", "tile_y").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
     return packed.select(*keys, "tile_x", "tile_y", *[F.col(f"cells.{c}").alias(c) for c in ("x", "y", "v")])
