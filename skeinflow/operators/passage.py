@@ -86,19 +86,22 @@ def longest_outage(obs: DataFrame, site: str, day: Column, first: str, last: str
     return gaps.groupBy(site).agg(F.max_by("start", F.struct("gap", -F.unix_date("start"))).alias("start"), F.max("gap").alias("days"))
 
 
-def permutation_null(panel: DataFrame, keys: Sequence[str], year: str, value: str, *, draws: int = 200, seed: int = 0) -> DataFrame:
-    """Mean slope over groups for each draw of values shuffled within their group: mean, 2.5 and 97.5 percentiles.
+def permutation_null(panel: DataFrame, keys: Sequence[str], year: str, value: str, *, draws: int = 200, min_years: int = 15, seed: int = 0) -> DataFrame:
+    """Mean slope per decade over groups for each draw of values shuffled within their group: groups, mean, 2.5 and 97.5 percentiles.
 
+    Groups of fewer than min_years values are left out. A draw orders a group's values
+    by the digest of seed, draw, key and place, so that it can be drawn again anywhere.
     Panels are small; draws multiply them after that reduction only.
     """
+    own = Window.partitionBy(*keys)
     base = panel.dropna(subset=[year, value]).select(*keys, F.col(year).alias("_x"), F.col(value).alias("_y"))
-    base = base.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_x", "_y")))
+    base = base.withColumns({"_k": F.row_number().over(own.orderBy("_x", "_y")), "_n": F.count("*").over(own)}).where(F.col("_n") >= min_years).drop("_n")
     many = base.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    by = Window.partitionBy(*keys, "_draw").orderBy(F.xxhash64(F.lit(seed), "_draw", *keys, "_k"))
-    dealt = many.withColumn("_to", F.row_number().over(by))
+    digest = F.md5(F.concat_ws("-", F.lit(seed).cast("string"), *[F.col(c).cast("string") for c in ("_draw", *keys, "_k")]))
+    dealt = many.withColumn("_to", F.row_number().over(Window.partitionBy(*keys, "_draw").orderBy(digest, "_k")))
     pairs = many.select(*keys, "_draw", "_k", "_x").join(dealt.select(*keys, "_draw", F.col("_to").alias("_k"), "_y"), [*keys, "_draw", "_k"])
-    slopes = pairs.groupBy(*keys, "_draw").agg(F.regr_slope("_y", "_x").alias("b")).groupBy("_draw").agg(F.avg("b").alias("b"))
-    return slopes.agg(F.avg("b").alias("mean"), F.percentile("b", 0.025).alias("low"), F.percentile("b", 0.975).alias("high"))
+    slopes = pairs.groupBy(*keys, "_draw").agg((F.regr_slope("_y", "_x") * 10).alias("b")).groupBy("_draw").agg(F.avg("b").alias("b"), F.count("b").alias("groups"))
+    return slopes.agg(F.max("groups").alias("groups"), F.avg("b").alias("mean"), F.percentile("b", 0.025).alias("low"), F.percentile("b", 0.975).alias("high"))
 
 
 def weekly_climatology(obs: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:

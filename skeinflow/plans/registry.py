@@ -103,9 +103,12 @@ def longest_outage(spark, sf_dir):
     return passage.longest_outage(_t(spark, sf_dir, "events"), "user_id", F.col("ts"), "2024-01-01", "2024-01-30", min_days=1).withColumn("start", F.col("start").cast("string"))
 
 
-@query()
+@query(f"""WITH {_QUANTILES}, b AS (SELECT l_suppkey, year AS x, q50_doy AS y, row_number() OVER (PARTITION BY l_suppkey ORDER BY year, q50_doy) AS k FROM pq WHERE q50_doy IS NOT NULL QUALIFY count(*) OVER (PARTITION BY l_suppkey) >= 5),
+m AS (SELECT *, unnest(range(1, 201)) AS draw FROM b), t AS (SELECT l_suppkey, draw, y, row_number() OVER (PARTITION BY l_suppkey, draw ORDER BY md5(concat_ws('-', 0, draw, l_suppkey, k)), k) AS k FROM m),
+s AS (SELECT l_suppkey, draw, regr_slope(t.y, x) * 10 AS b FROM m JOIN t USING (l_suppkey, draw, k) GROUP BY ALL), a AS (SELECT draw, avg(b) AS b, count(b) AS groups FROM s GROUP BY 1)
+SELECT max(groups) AS groups, round(avg(b), 3) AS mean, round(quantile_cont(b, 0.025), 3) AS low, round(quantile_cont(b, 0.975), 3) AS high FROM a""")
 def permutation_null(spark, sf_dir):
-    return passage.permutation_null(_quantiles(spark, sf_dir), ["l_suppkey"], "year", "q50_doy", draws=50)
+    return _r(passage.permutation_null(_quantiles(spark, sf_dir), ["l_suppkey"], "year", "q50_doy", min_years=5), "mean", "low", "high", places=3)
 
 
 @query("""WITH y AS (SELECT l_suppkey, year(l_shipdate) AS year, least((dayofyear(l_shipdate) - 1) // 7, 51)::INTEGER AS week, median(l_quantity::DOUBLE) AS m FROM lineitem GROUP BY ALL)
@@ -269,9 +272,17 @@ def occupancy(spark, sf_dir):
     return _r(atlas.fit_occupancy(sums, ["species"]), "psi", "p")
 
 
-@query("WITH r AS (SELECT c_mktsegment AS g, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS a, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2.0 AS b FROM customer) SELECT g AS c_mktsegment, count(*) AS n, round(corr(a, b), 5) AS rho FROM r GROUP BY 1")
+def two_sided(z: str) -> str:
+    """SQL of the chance that a standard normal value lies at least as far out as z."""
+    t, poly = f"(1 / (1 + abs({z}) / sqrt(2.0) / 2))", str(inference.ERFC[-1])
+    for c in reversed(inference.ERFC[:-1]):
+        poly = f"({c} + {t} * {poly})"
+    return f"{t} * exp(-({z}) * ({z}) / 2.0 + {poly})"
+
+
+@query(f"WITH r AS (SELECT c_mktsegment AS g, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS a, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2.0 AS b FROM customer), s AS (SELECT g, count(*) AS n, corr(a, b) AS rho FROM r GROUP BY 1), t AS (SELECT *, rho * sqrt((n - 2) / (1 - rho * rho)) AS z FROM s) SELECT g AS c_mktsegment, n, round(rho, 5) AS rho, round({two_sided('z')}, 5) AS p FROM t")
 def spearman(spark, sf_dir):
-    return _r(inference.spearman(_t(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", "c_nationkey"), "rho")
+    return _r(inference.spearman(_t(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", "c_nationkey"), "rho", "p")
 
 
 _CELLS = "c AS (SELECT ((c_custkey * 17) % 12)::INT AS r, ((c_custkey * 37) % 36)::INT AS c, avg(c_acctbal::DOUBLE) AS v FROM customer GROUP BY ALL)"
@@ -288,12 +299,11 @@ def morans_i(spark, sf_dir):
     return _r(inference.morans_i(_cells(spark, sf_dir), "r", "c", "v"), "morans_i", places=6)
 
 
-@query("""WITH d AS (SELECT c_mktsegment AS g, c_acctbal AS v, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS r FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')),
+@query("""WITH d AS (SELECT c_mktsegment AS g, c_acctbal AS v, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS r FROM customer),
 p AS (SELECT g, sum(r)::DOUBLE AS s, count(*) AS k FROM d GROUP BY 1), t AS (SELECT sum(k * k * k - k)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS k FROM d GROUP BY v))
 SELECT sum(k)::BIGINT AS n, count(*) AS groups, round((12 / (sum(k)::DOUBLE * (sum(k) + 1)) * sum(s * s / k) - 3 * (sum(k) + 1)) / (1 - (SELECT ties FROM t) / (sum(k)::DOUBLE * sum(k) * sum(k) - sum(k))), 5) AS h FROM p""")
 def kruskal_wallis(spark, sf_dir):
-    d = _t(spark, sf_dir, "customer").where(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "MACHINERY"))
-    return _r(inference.kruskal_wallis(d, "c_mktsegment", "c_acctbal"), "h")
+    return _r(inference.kruskal_wallis(_t(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal"), "h")
 
 
 @query("""WITH s AS (SELECT l_returnflag, count(*) AS n, covar_pop(q, q) AS xx, covar_pop(d, d) AS gg, covar_pop(q, d) AS xg, covar_pop(q, y) AS xy, covar_pop(d, y) AS gy, corr(q, y) AS rxy, corr(q, d) AS rxg, corr(y, d) AS ryg
