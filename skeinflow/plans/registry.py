@@ -382,4 +382,4 @@ def disclosure_decisions(spark, sf_dir):
     return gate.decide(gate.sensitivity(items, rules, sources), policy, sources, [5]).select("taxon", "decision", "reason", "sensitivity", "n")
 
 
-from . import more_queries, surface_queries  # noqa: E402, F401  their queries register themselves here
+from . import more_queries, surface_queries, trend_queries  # noqa: E402, F401  their queries register themselves here
