@@ -15,9 +15,11 @@ def _panel(spark, sf_dir):
     return _quantiles(spark, sf_dir).dropna(subset=["q50_doy"])
 
 
-@query(f"WITH {_QUANTILES}, own AS ({_PANEL}), spans AS (SELECT l_suppkey FROM own GROUP BY 1 HAVING count(DISTINCT year) FILTER (year < 1998) >= 2 AND count(DISTINCT year) FILTER (year >= 1998) >= 2) SELECT l_suppkey, count(*) AS years FROM own JOIN spans USING (l_suppkey) GROUP BY 1")
+@query(f"WITH {_QUANTILES}, own AS ({_PANEL} AND observations >= 22), spans AS (SELECT l_suppkey FROM own GROUP BY 1 HAVING count(DISTINCT year) FILTER (year < 1998) >= 2 AND count(DISTINCT year) FILTER (year >= 1998) >= 3) SELECT l_suppkey, count(*) AS years FROM own JOIN spans USING (l_suppkey) GROUP BY 1")
 def balanced_panel(spark, sf_dir):
-    return panels.balanced_panel(_panel(spark, sf_dir), "l_suppkey", "year", 1998, 2).groupBy("l_suppkey").agg(F.count("*").alias("years"))
+    d = panels.balanced_panel(_panel(spark, sf_dir).where("observations >= 22"), "l_suppkey", "year", 1998, 2)
+    after = d.groupBy("l_suppkey").agg(F.count("*").alias("years"), F.countDistinct(F.when(F.col("year") >= 1998, F.col("year"))).alias("after"))
+    return after.where("after >= 3").drop("after")
 
 
 @query(f"WITH {_QUANTILES}, own AS ({_PANEL}), m AS (SELECT l_suppkey, avg(q50_doy) FILTER (year < 1998) AS a, avg(q50_doy) FILTER (year >= 1998) AS b FROM own GROUP BY 1 HAVING count(DISTINCT year) FILTER (year < 1998) >= 2 AND count(DISTINCT year) FILTER (year >= 1998) >= 2) SELECT count(*) AS stations, round(avg(a), 4) AS before, round(avg(b), 4) AS after, round(avg(b - a), 4) AS change FROM m")
@@ -100,13 +102,15 @@ def cell_coverage(spark, sf_dir):
     return grids.cell_coverage(d, ["cy", "cx"], "ts", "event_type")
 
 
-_NEAR = f"""st AS (SELECT {_STATION} FROM supplier), g AS (SELECT c_custkey AS cell, lon, lat FROM (SELECT c_custkey, ((c_custkey * 37) % 360) - 180 + 0.5 AS lon, ((c_custkey * 17) % 120) - 60 + 0.5 AS lat FROM customer)),
+_NEAR = f"""st AS (SELECT station, lon + 0.13::DOUBLE * (station % 7) AS lon, lat + 0.29::DOUBLE * (station % 5) AS lat FROM (SELECT {_STATION} FROM supplier)), g AS (SELECT c_custkey AS cell, lon, lat FROM (SELECT c_custkey, ((c_custkey * 37) % 360) - 180 + 0.5 AS lon, ((c_custkey * 17) % 120) - 60 + 0.5 AS lat FROM customer)),
 n AS (SELECT station, min((sqrt(pow((g.lon - st.lon) * cos(radians(st.lat)), 2) + pow(g.lat - st.lat, 2)), cell)) AS b FROM st JOIN g ON abs(g.lon - st.lon) <= 10 AND abs(g.lat - st.lat) <= 10 GROUP BY 1)"""
 
 
 def _near(spark, sf_dir):
     cells = _surface(spark, sf_dir).select(F.col("k").alias("cell"), "lon", "lat")
-    return grids.nearest_cells(_stations(spark, sf_dir), cells, "station", "cell", reach=10.0)
+    k = F.col("station")
+    off_centre = _stations(spark, sf_dir).withColumns({"lon": F.col("lon") + 0.13 * (k % 7), "lat": F.col("lat") + 0.29 * (k % 5)})
+    return grids.nearest_cells(off_centre, cells, "station", "cell", reach=10.0)
 
 
 @query(f"WITH {_NEAR} SELECT s_suppkey AS station, b[2] AS cell, round(b[1] * 111, 4) AS error_km FROM supplier LEFT JOIN n ON station = s_suppkey")
@@ -176,9 +180,9 @@ def admitted_sources(spark, sf_dir):
     return hygiene.admit_sources(_t(spark, sf_dir, "customer"), registry, "c_nationkey")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def shortfall(spark, sf_dir):
-    return hygiene.shortfall(_t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return hygiene.shortfall(_t(spark, sf_dir, "customer").select("c_custkey"), _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 3")
@@ -283,25 +287,30 @@ def expected_taxa(spark, sf_dir):
     return _r(atlas.expected_taxa(detections, effort, fits, "species", "cell", "k", "n"), "expected", places=4)
 
 
-@query(f"WITH {_SURVEY}, o AS (SELECT year, site, avg(lat) AS v, avg(cpue) AS d FROM s GROUP BY ALL) SELECT year, count(*) AS sites, round(avg(v), 5) AS ambient, round(avg((v IS NOT NULL)::INT), 5) AS share, round(avg(d), 4) AS mean_doy FROM o GROUP BY 1")
+@query(f"WITH {_SURVEY}, o AS (SELECT year, site, avg(CASE WHEN site % 10 < 2 * (year - 1995) THEN cpue END) AS v, avg(doy) AS d FROM s GROUP BY ALL) SELECT year, count(*) AS sites, round(avg(v), 5) AS ambient, round(avg((v IS NOT NULL)::INT), 5) AS share, round(avg(d), 4) AS mean_doy FROM o GROUP BY 1 HAVING avg((v IS NOT NULL)::INT) >= 0.5")
 def available_environment(spark, sf_dir):
-    return _r(_r(ranges.available(_survey(spark, sf_dir), "year", "site", "lat", "cpue"), "ambient", "share"), "mean_doy", places=4)
+    measured = _survey(spark, sf_dir).withColumn("v", F.when(F.col("site") % 10 < 2 * (F.col("year") - 1995), F.col("cpue")))  # more sites measure each year
+    return _r(_r(ranges.available(measured, "year", "site", "v", "doy"), "ambient", "share"), "mean_doy", places=4)
 
 
 _SLOPES = "SELECT taxon, regr_sxy({0}, year) / regr_sxx({0}, year) AS slope, sqrt(greatest(regr_syy({0}, year) - regr_sxy({0}, year) / regr_sxx({0}, year) * regr_sxy({0}, year), 0) / (count(*) - 2) / regr_sxx({0}, year)) AS se FROM y GROUP BY 1 HAVING count(*) >= 4"
 
 
-@query(f"WITH {_SURVEY}, y AS (SELECT taxon, year, sum(lat * cpue) / sum(cpue) AS o, avg(cpue) AS a FROM s GROUP BY ALL), o AS ({_SLOPES.format('o')}), a AS ({_SLOPES.format('a')}) SELECT taxon, round(o.slope, 4) AS occupied, round(a.slope, 4) AS ambient, round(CASE WHEN abs(a.slope) > 1.96 * a.se THEN 1 - o.slope / a.slope END, 3) AS tracking FROM o JOIN a USING (taxon)")
+_WARMTH = "10 + 0.1 * (site % 3) * (year - 1995) - 0.02 * lat"
+
+
+@query(f"WITH {_SURVEY}, y AS (SELECT taxon, year, sum(({_WARMTH}) * cpue) / sum(cpue) AS o, avg({_WARMTH}) AS a FROM s GROUP BY ALL), o AS ({_SLOPES.format('o')}), a AS ({_SLOPES.format('a')}) SELECT taxon, round(o.slope, 4) AS occupied, round(a.slope, 4) AS ambient, round(CASE WHEN abs(a.slope) > 1.96 * a.se THEN 1 - o.slope / a.slope END, 3) AS tracking FROM o JOIN a USING (taxon)")
 def tracking_index(spark, sf_dir):
-    y = _survey(spark, sf_dir).groupBy("taxon", "year").agg((F.sum(F.col("lat") * F.col("cpue")) / F.sum("cpue")).alias("o"), F.avg("cpue").alias("a"))
+    d = _survey(spark, sf_dir).withColumn("w", F.expr(_WARMTH).cast("double"))  # sites warm at three rates
+    y = d.groupBy("taxon", "year").agg((F.sum(F.col("w") * F.col("cpue")) / F.sum("cpue")).alias("o"), F.avg("w").alias("a"))
     one, two = (passage.trend_with_error(y, ["taxon"], "year", c, min_n=4) for c in ("o", "a"))
     return _r(_r(ranges.tracking_index(one, two, ["taxon"]), "occupied", "ambient", places=4), "tracking", places=3)
 
 
-@query(f"WITH {_SURVEY}, y AS (SELECT taxon, year, avg(cpue) AS d FROM s GROUP BY ALL) SELECT taxon, round(slope, 5) AS slope, round(se, 5) AS se FROM ({_SLOPES.format('d')})")
+@query(f"WITH {_SURVEY}, y AS (SELECT taxon, year, avg(doy) AS d FROM s GROUP BY ALL) SELECT taxon, round(slope, 4) AS slope, round(se, 4) AS se FROM ({_SLOPES.format('d')})")
 def date_drift(spark, sf_dir):
-    y = _survey(spark, sf_dir).groupBy("taxon", "year").agg(F.avg("cpue").alias("d"))
-    return _r(passage.trend_with_error(y, ["taxon"], "year", "d", min_n=4).select("taxon", "slope", "se"), "slope", "se")
+    y = _survey(spark, sf_dir).groupBy("taxon", "year").agg(F.avg("doy").alias("d"))
+    return _r(passage.trend_with_error(y, ["taxon"], "year", "d", min_n=4).select("taxon", "slope", "se"), "slope", "se", places=4)
 
 
 _DECIDED = "q AS (SELECT c_mktsegment AS taxon, CASE WHEN count(*) % 2 = 0 THEN 'publish' ELSE 'withhold' END AS decision, CASE WHEN length(c_mktsegment) <> 9 THEN 5.0 * (1 + length(c_mktsegment) % 3) END AS grid FROM customer GROUP BY 1)"

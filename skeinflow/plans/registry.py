@@ -126,13 +126,13 @@ def weekly_flow(spark, sf_dir):
     return _r(_r(passage.weekly_flow(d, ["l_returnflag"], "l_shipdate", "dir", "spd", "w"), "bearing", places=4), "speed")
 
 
-_SURVEY = """s AS (SELECT p_brand AS taxon, l_suppkey AS site, year(l_shipdate) AS year, l_quantity::DOUBLE / (1 + l_linenumber) AS cpue, ((l_suppkey * 17) % 120) - 60 + 0.5 AS lat, l_returnflag AS gear FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+_SURVEY = """s AS (SELECT p_brand AS taxon, l_suppkey AS site, year(l_shipdate) AS year, l_quantity::DOUBLE / (1 + l_linenumber) AS cpue, ((l_suppkey * 17) % 120) - 60 + 0.5 AS lat, l_returnflag AS gear, dayofyear(l_shipdate) AS doy FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 def _survey(spark, sf_dir):
     d = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     d = d.withColumn("effort", F.col("l_linenumber") + 1).withColumn("cpue", ranges.catch_per_effort("l_quantity", "effort"))
-    return d.select(F.col("p_brand").alias("taxon"), F.col("l_suppkey").alias("site"), F.year("l_shipdate").alias("year"), "cpue", (F.pmod(F.col("l_suppkey") * 17, F.lit(120)) - 60 + 0.5).cast("double").alias("lat"), F.col("l_returnflag").alias("gear"))
+    return d.select(F.col("p_brand").alias("taxon"), F.col("l_suppkey").alias("site"), F.year("l_shipdate").alias("year"), "cpue", (F.pmod(F.col("l_suppkey") * 17, F.lit(120)) - 60 + 0.5).cast("double").alias("lat"), F.col("l_returnflag").alias("gear"), F.dayofyear("l_shipdate").alias("doy"))
 
 
 @query(f"WITH {_SURVEY}, a AS (SELECT taxon, count(DISTINCT year) AS y FROM s GROUP BY 1), f AS (SELECT taxon, site, count(DISTINCT year) AS k FROM s GROUP BY ALL) SELECT taxon, count(*) AS rows FROM s JOIN f USING (taxon, site) JOIN a USING (taxon) WHERE k >= greatest(1, round_even(0.8 * y, 0)) GROUP BY 1")
@@ -346,9 +346,9 @@ def taxa_per_cell(spark, sf_dir):
     return d.groupBy("lon", "lat").agg(F.count("*").alias("taxa"))
 
 
-@query("WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_custkey % 7 = 0), b AS (SELECT date_trunc('month', min(d))::DATE AS a, last_day(max(d)) AS z FROM d), m AS (SELECT unnest(generate_series(a, z, INTERVAL 1 MONTH))::DATE AS m FROM b), h AS (SELECT year(d) AS year, month(d) AS month, count(*) AS days FROM d GROUP BY ALL) SELECT year(m)::INTEGER AS year, month(m)::INTEGER AS month, coalesce(days, 0) AS days, day(last_day(m)) - coalesce(days, 0) AS missing FROM m LEFT JOIN h ON h.year = year(m) AND h.month = month(m) WHERE coalesce(days, 0) < day(last_day(m)) - 1")
+@query("WITH d AS (SELECT DISTINCT l_suppkey, l_shipdate::DATE AS d FROM lineitem WHERE l_shipdate IS NOT NULL), b AS (SELECT date_trunc('month', min(d))::DATE AS a, last_day(max(d)) AS z FROM d), m AS (SELECT l_suppkey AS k, m FROM (SELECT DISTINCT l_suppkey FROM d), (SELECT unnest(generate_series(a, z, INTERVAL 1 MONTH))::DATE AS m FROM b)), h AS (SELECT l_suppkey, year(d) AS year, month(d) AS month, count(*) AS days FROM d GROUP BY ALL) SELECT k AS l_suppkey, year(m)::INTEGER AS year, month(m)::INTEGER AS month, coalesce(days, 0) AS days, day(last_day(m)) - coalesce(days, 0) AS missing FROM m LEFT JOIN h ON h.l_suppkey = k AND h.year = year(m) AND h.month = month(m) WHERE coalesce(days, 0) < day(last_day(m)) - 1")
 def day_gaps(spark, sf_dir):
-    return lake.day_gaps(_t(spark, sf_dir, "orders").where("o_custkey % 7 = 0"), F.col("o_orderdate"))
+    return lake.day_gaps(_t(spark, sf_dir, "lineitem"), F.col("l_shipdate"), ["l_suppkey"])
 
 
 @query("WITH d AS (SELECT DISTINCT c_nationkey, o_orderdate::DATE AS d FROM orders JOIN customer ON c_custkey = o_custkey), b AS (SELECT date_trunc('month', min(d))::DATE AS a, last_day(max(d)) AS z FROM d), m AS (SELECT c_nationkey AS k, m FROM (SELECT DISTINCT c_nationkey FROM d), (SELECT unnest(generate_series(a, z, INTERVAL 1 MONTH))::DATE AS m FROM b)), h AS (SELECT c_nationkey, year(d) AS year, month(d) AS month, count(*) AS days FROM d GROUP BY ALL) SELECT k AS c_nationkey, year(m)::INTEGER AS year, month(m)::INTEGER AS month, coalesce(days, 0) AS days, day(last_day(m)) - coalesce(days, 0) AS missing FROM m LEFT JOIN h ON h.c_nationkey = k AND h.year = year(m) AND h.month = month(m) WHERE coalesce(days, 0) < day(last_day(m)) - 1")
@@ -370,16 +370,36 @@ def long_to_wide(spark, sf_dir):
     return _r(d.withColumnsRenamed({"A": "a", "N": "n", "R": "r"}), "a", "n", "r", places=3)
 
 
-@query("SELECT c_mktsegment AS taxon, CASE c_mktsegment WHEN 'BUILDING' THEN 'withhold' WHEN 'MACHINERY' THEN 'withhold' ELSE 'publish' END AS decision, CASE c_mktsegment WHEN 'BUILDING' THEN 'policy' WHEN 'MACHINERY' THEN 'floor taxon' END AS reason, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'high' WHEN 'BUILDING' THEN 'embargoed' ELSE 'low' END AS sensitivity, count(*) AS n FROM customer GROUP BY ALL")
-def disclosure_decisions(spark, sf_dir):
-    names = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 5}
-    key = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("c_mktsegment")]
-    items = _t(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("taxon"), key.alias("taxon_key")).agg(F.count("*").alias("n"))
-    items = items.withColumns({"source_id": F.lit("s"), "evidence": F.lit("surface"), "realm": F.lit("aerial"), "taxon_scope": F.lit("exact"), "granularity": F.lit("aggregate")})
-    rules = spark.createDataFrame([(1, None, None, "low"), (1, "surface", None, "moderate"), (1, None, "aerial", "high"), (2, None, None, "embargoed"), (3, "track", None, "high")], "taxon_key int, evidence string, realm string, sensitivity string")
-    sources = spark.createDataFrame([("s", "low", True)], "source_id string, default_sensitivity string, redistributable boolean")
-    policy = spark.createDataFrame([("low", "aggregate", False), ("moderate", "aggregate", False), ("high", "aggregate", False), ("embargoed", "aggregate", True)], "sensitivity string, granularity string, withhold boolean")
-    return gate.decide(gate.sensitivity(items, rules, sources), policy, sources, [5]).select("taxon", "decision", "reason", "sensitivity", "n")
+#: Small registries; the SQL has the same rows.
+_RULES = [(1, None, None, "low"), (1, "surface", None, "moderate"), (1, None, "aerial", "high"), (2, None, None, "embargoed"), (3, "track", None, "high"), (3, None, "marine", "moderate"), (4, "surface", "aerial", "not_sensitive")]
+_GATE_SOURCES = [("s", "low", True), ("t", None, True), ("u", "low", False)]
+_POLICY = [("not_sensitive", "aggregate", False), ("low", "aggregate", False), ("low", "individual", False), ("moderate", "aggregate", False), ("moderate", "individual", True), ("high", "aggregate", False), ("high", "individual", True), ("embargoed", "aggregate", True)]
+
 
+def _values(rows):
+    word = lambda x: "NULL" if x is None else repr(x)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(word, r)) + ")" for r in rows) + ")"
 
-from . import more_queries, surface_queries, trend_queries  # noqa: E402, F401  their queries register themselves here
+
+@query(f"""WITH i AS (SELECT c_mktsegment AS taxon, CASE c_nationkey % 4 WHEN 0 THEN 's' WHEN 1 THEN 't' WHEN 2 THEN 'u' ELSE 'x' END AS source_id, CASE WHEN c_nationkey % 3 = 0 THEN 'surface' ELSE 'track' END AS evidence, CASE WHEN c_nationkey % 5 < 2 THEN 'aerial' ELSE 'marine' END AS realm,
+  CASE WHEN c_nationkey % 7 <> 6 THEN CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END END AS k, count(*) AS n FROM customer GROUP BY ALL),
+r AS (SELECT taxon, source_id, evidence, realm, k, arg_max(s, (re IS NOT NULL)::INT * 10 + (rr IS NOT NULL)::INT * 10 + list_position(['not_sensitive', 'low', 'moderate', 'high', 'embargoed'], s)) AS rule FROM i JOIN {_values(_RULES)} AS rules(rk, re, rr, s) ON rk = k AND coalesce(re = evidence, true) AND coalesce(rr = realm, true) GROUP BY ALL),
+j AS (SELECT i.*, coalesce(rule, d) AS sensitivity, ok, CASE WHEN i.evidence = 'track' THEN 'individual' ELSE 'aggregate' END AS granularity FROM i LEFT JOIN r ON r.taxon = i.taxon AND r.source_id = i.source_id AND r.evidence = i.evidence AND r.realm = i.realm AND r.k = i.k LEFT JOIN {_values(_GATE_SOURCES)} AS sources(sid, d, ok) ON sid = i.source_id),
+q AS (SELECT j.*, CASE WHEN coalesce(k = 5, false) THEN 'floor taxon' WHEN NOT coalesce(ok, false) THEN 'licence' WHEN sensitivity IS NULL THEN 'unresolved sensitivity' WHEN k IS NULL THEN 'exact scope without key' WHEN coalesce(w, true) THEN 'policy' END AS reason FROM j LEFT JOIN {_values(_POLICY)} AS policy(ps, pg, w) ON ps = sensitivity AND pg = granularity)
+SELECT taxon, source_id, evidence, realm, k AS taxon_key, sensitivity, CASE WHEN reason IS NULL THEN 'publish' ELSE 'withhold' END AS decision, reason, n FROM q""")
+def disclosure_decisions(spark, sf_dir):
+    n = F.col("c_nationkey")
+    names = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 5}
+    key = F.when(n % 7 != 6, F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("c_mktsegment")])
+    source = F.element_at(F.array(*map(F.lit, "stux")), (n % 4 + 1).cast("int"))
+    parts = {"taxon": F.col("c_mktsegment"), "source_id": source, "evidence": F.when(n % 3 == 0, "surface").otherwise("track"), "realm": F.when(n % 5 < 2, "aerial").otherwise("marine"), "taxon_key": key}
+    items = _t(spark, sf_dir, "customer").groupBy(*[c.alias(x) for x, c in parts.items()]).agg(F.count("*").alias("n"))
+    items = items.withColumns({"taxon_scope": F.lit("exact"), "granularity": F.when(F.col("evidence") == "track", "individual").otherwise("aggregate")})
+    rules = spark.createDataFrame(_RULES, "taxon_key int, evidence string, realm string, sensitivity string")
+    sources = spark.createDataFrame(_GATE_SOURCES, "source_id string, default_sensitivity string, redistributable boolean")
+    policy = spark.createDataFrame(_POLICY, "sensitivity string, granularity string, withhold boolean")
+    out = gate.decide(gate.sensitivity(items, rules, sources), policy, sources, [5])
+    return out.select("taxon", "source_id", "evidence", "realm", "taxon_key", "sensitivity", "decision", "reason", "n")
+
+
+from . import more_queries, surface_queries, table_queries, trend_queries  # noqa: E402, F401  their queries register themselves here
