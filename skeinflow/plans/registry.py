@@ -402,4 +402,4 @@ def disclosure_decisions(spark, sf_dir):
     return out.select("taxon", "source_id", "evidence", "realm", "taxon_key", "sensitivity", "decision", "reason", "n")
 
 
-from . import more_queries, surface_queries, table_queries, trend_queries  # noqa: E402, F401  their queries register themselves here
+from . import layer_queries, more_queries, surface_queries, table_queries, trend_queries  # noqa: E402, F401  their queries register themselves here
