@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.lineage import cut
 from .inference import two_sided
 from .panels import balanced_panel
 
@@ -115,7 +116,8 @@ def population_trend(panel: DataFrame, keys: Sequence[str], site: str, year: str
     sites that can be fitted, or of one year, has no row. What is not asked for is null.
     """
     k = list(keys)
-    d = panel.dropna(subset=[*k, site, year, y])
+    # the panel is a reduction of what it comes from, and is read several times
+    d = cut(panel.dropna(subset=[*k, site, year, y]).select(*k, site, year, F.col(y).cast("double").alias(y), *([latitude] if latitude else [])))
     mid = d.select(*k, year).distinct().groupBy(*k).agg(F.avg(year).alias("_mid"))
     d = d.join(F.broadcast(mid), k) if k else d.crossJoin(F.broadcast(mid))
     d = d.withColumn("decade", (F.col(year) - F.col("_mid")) / 10)
@@ -124,10 +126,11 @@ def population_trend(panel: DataFrame, keys: Sequence[str], site: str, year: str
         d, terms = d.withColumn("post", (F.col(year) >= break_year).cast("double")), [*terms, "post"]
     if curvature:
         d, terms = d.withColumn("decade2", F.col("decade") * F.col("decade")), [*terms, "decade2"]
-    fits = site_fits(d.withColumn(y, F.col(y).cast("double")), k, site, y, terms)
+    fits = site_fits(d, k, site, y, terms)
     if latitude:
         place = d.groupBy(*k, site).agg((F.max(latitude) - LATITUDE_ORIGIN).alias("north"))
         fits = fits.join(place, [*k, site])
+    fits = cut(fits)
     north = "north" if latitude else None
     whole = d.join(fits.select(*k, site), [*k, site], "left_semi").groupBy(*k).agg(F.count("*").alias("observations"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
     none = F.lit(None).cast("double")
@@ -149,7 +152,7 @@ def _side(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
 def break_diagnosis(panel: DataFrame, bands: Mapping[str, tuple[float, float]], site: str, year: str, y: str, latitude: str, break_year: int, *, least: int = 2, min_sites: int = MIN_SITES) -> DataFrame:
     """(band, variant, ...): the population's trend in half-open bands of latitude, plain, with a step, with a step on sites that have ``least`` years on both sides of it, and with step and curvature."""
     band = F.coalesce(*[F.when((F.col(latitude) >= low) & (F.col(latitude) < high), name) for name, (low, high) in bands.items()])
-    d = panel.withColumn("band", band).where("band is not null")
+    d = cut(panel.withColumn("band", band).where("band is not null").select("band", site, year, y))
     held = balanced_panel(d.dropna(subset=[y]), site, year, break_year, least)
     fit = lambda p, variant, **more: population_trend(p, ["band"], site, year, y, min_sites=min_sites, **more).withColumn("variant", F.lit(variant))
     out = fit(d, "plain")

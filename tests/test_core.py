@@ -65,7 +65,9 @@ def test_break_is_found_and_left_out_where_it_does_not_span(spark):
 def test_permutation_null_is_centred_and_a_trend_lies_outside(spark):
     rows = [(k, y, y * 1.0 + (y * 7 + k) % 3) for k in range(6) for y in range(20)]
     null = passage.permutation_null(spark.createDataFrame(rows, "k int, y int, v double"), ["k"], "y", "v", draws=60).first()
-    assert abs(null["mean"]) < 0.2 and null.high < 0.9
+    assert abs(null["mean"]) < 2 and null.high < 9 and null.groups == 6
+    few = passage.permutation_null(spark.createDataFrame(rows, "k int, y int, v double"), ["k"], "y", "v", draws=3, min_years=21).first()
+    assert (few.groups, few["mean"]) == (None, None)
 
 
 def test_scattered_segment_goes_and_track_stays(spark):
