@@ -116,6 +116,8 @@ def profile_interval(sums: DataFrame, keys: Sequence[str], *, steps: int = 100,
     d = sums.join(best.where("seen > 0").select(*keys, F.col("psi").alias("top_psi"), F.col("p").alias("top_p")), list(keys))
     d = d.withColumn("mark", sums_likelihood(F.col("top_psi"), F.col("top_p")) - PROFILE_DROP)
     d = d.withColumn("psi", F.explode(F.transform(F.sequence(F.lit(1), F.lit(steps - 1)), lambda i: i / steps)))
+    # small rows with much work each: kept apart, although their bytes would fit one task
+    d = d.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "psi")
     start = F.least(F.col("detections") / F.col("seen_cards"), F.lit(0.999))
     update = lambda p, _: F.transform(F.array(_expected_silent(F.col("psi"), p)), lambda t: F.col("detections") / (F.col("seen_cards") + t["zn"]))[0]
     d = d.withColumn("p", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, update))
