@@ -60,10 +60,11 @@ def merged_cells(df: DataFrame, keys: list[str], lon: str, lat: str, value: str)
     return df.groupBy(*keys, lon, lat).agg(F.sum(value).alias(value))
 
 
-def statement(grid: Column, delay_days: Column, drop_ids: Column) -> Column:
-    """What was done to the data, in words."""
+def statement(grid: Column, delay_days: Column, drop_ids: Column, withheld: Column | None = None) -> Column:
+    """What was done to the data, in words; with ``withheld``, null counting as true, also that they are not published."""
     parts = F.concat_ws("; ", F.when(grid.isNotNull(), F.concat(F.lit("positions to "), grid.cast("string"), F.lit(" degrees"))), F.when(delay_days > 0, F.concat(F.lit("delayed by "), delay_days.cast("string"), F.lit(" days"))), F.when(drop_ids, F.lit("identifiers removed")))
-    return F.when(parts == "", F.lit("none")).otherwise(parts)
+    said = F.when(parts == "", F.lit("none")).otherwise(parts)
+    return said if withheld is None else F.when(F.coalesce(withheld, F.lit(True)), F.lit("withheld: not published")).otherwise(said)
 
 
 def with_permission(decisions: DataFrame, permissions: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.geo import haversine_km
+from .tracks import steps
+
 
 def balanced_panel(df: DataFrame, station: str, year: str, break_year: int, each_side: int = 1) -> DataFrame:
     """Rows of stations with at least so many years before the break, and so many from it on."""
@@ -83,6 +86,24 @@ def seasonal_displacement(df: DataFrame, keys: Sequence[str], time: str, lat: st
     return edges.dropna(subset=["winter", "summer"]).join(between, list(keys), "left").select(*keys, "winter", "summer", (F.col("summer") - F.col("winter")).alias("displacement"), F.coalesce("fixes", F.lit(0)).alias("fixes"))
 
 
+def seasonal_path(df: DataFrame, keys: Sequence[str], time: str, lat: str, lon: str, winter: tuple[int, int], summer: tuple[int, int], tie: str | None = None) -> DataFrame:
+    """(keys, displacement_km, fixes, path_km, gap_days): from the median winter to the median summer position, and what was walked between.
+
+    The path is the sum of steps from the last fix of winter to the first of summer;
+    gap_days is the median time between its fixes, as a path grows with the number of
+    fixes. Keys without both positions have no row, those with fewer than two fixes on
+    the way no path.
+    """
+    doy = F.dayofyear(time)
+    at = lambda c, days: F.median(F.when(doy.between(*days), F.col(c)))
+    edges = df.groupBy(*keys).agg(at(lat, winter).alias("_la1"), at(lon, winter).alias("_lo1"), at(lat, summer).alias("_la2"), at(lon, summer).alias("_lo2"), F.max(F.when(doy.between(*winter), F.col(time))).alias("_from"), F.min(F.when(doy.between(*summer), F.col(time))).alias("_to"))
+    edges = edges.dropna(subset=["_la1", "_la2"])
+    way = df.join(edges.select(*keys, "_from", "_to"), list(keys)).where(F.col(time).between(F.col("_from"), F.col("_to")))
+    walked = steps(way, keys, time, lat, lon, tie).groupBy(*keys).agg(F.count("*").alias("fixes"), F.sum("step_km").alias("path_km"), F.median("step_days").alias("gap_days"))
+    out = edges.join(walked, list(keys), "left")
+    return out.select(*keys, haversine_km(F.col("_la1"), F.col("_lo1"), F.col("_la2"), F.col("_lo2")).alias("displacement_km"), F.coalesce("fixes", F.lit(0)).alias("fixes"), "path_km", "gap_days")
+
+
 def individual_years(df: DataFrame, animal: str, time: str, lat: str, sensor: str, *, min_fixes: int = 30, min_months: int = 6) -> DataFrame:
     """Years of animals with enough fixes in enough months."""
     d = df.groupBy(animal, F.year(time).alias("year")).agg(F.count("*").alias("fixes"), F.countDistinct(F.month(time)).alias("months"), F.avg(lat).alias("mean_lat"), (F.max(lat) - F.min(lat)).alias("lat_range"), F.countDistinct(sensor).alias("sensors"))

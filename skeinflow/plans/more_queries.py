@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import atlas, gate, grids, hygiene, panels, passage, ranges
 from ..sources import lake
-from .registry import _FIX, _OWN_CELLS, _PLACE, _QUANTILES, _SNAP, _STATION, _SURVEY, _fixes, _quantiles, _r, _stations, _surface, _survey, _t, card_cells, query
+from .registry import _FIX, _KM, _OWN_CELLS, _PLACE, _QUANTILES, _SNAP, _STATION, _SURVEY, _fixes, _quantiles, _r, _stations, _surface, _survey, _t, card_cells, query
 
 _PANEL = "SELECT l_suppkey, year, q50_doy FROM pq WHERE q50_doy IS NOT NULL"
 
@@ -91,6 +91,14 @@ def seasonal_displacement(spark, sf_dir):
     return _r(panels.seasonal_displacement(_fixes(spark, sf_dir), ["user_id"], "ts", "lat", (1, 8), (20, 40)), "winter", "summer", "displacement", places=4)
 
 
+@query(f"""WITH {_FIX}, e AS (SELECT user_id, median(lat) FILTER (dayofyear(ts) <= 8) AS la1, median(lon) FILTER (dayofyear(ts) <= 8) AS lo1, median(lat) FILTER (dayofyear(ts) BETWEEN 20 AND 40) AS la2, median(lon) FILTER (dayofyear(ts) BETWEEN 20 AND 40) AS lo2, max(ts) FILTER (dayofyear(ts) <= 8) AS a, min(ts) FILTER (dayofyear(ts) BETWEEN 20 AND 40) AS b FROM x GROUP BY 1),
+w AS (SELECT user_id, {_KM.format('lag(lat) OVER w', 'lat', 'lag(lon) OVER w', 'lon')} AS km, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 86400000000 AS days FROM x JOIN e USING (user_id) WHERE ts BETWEEN a AND b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT user_id, count(*) AS fixes, sum(km) AS km, median(days) AS days FROM w GROUP BY 1)
+SELECT user_id, round({_KM.format('la1', 'la2', 'lo1', 'lo2')}, 3) AS displacement_km, coalesce(fixes, 0) AS fixes, round(km, 3) AS path_km, round(days, 5) AS gap_days FROM e LEFT JOIN p USING (user_id) WHERE la1 IS NOT NULL AND la2 IS NOT NULL""")
+def seasonal_path(spark, sf_dir):
+    return _r(_r(panels.seasonal_path(_fixes(spark, sf_dir), ["user_id"], "ts", "lat", "lon", (1, 8), (20, 40), "event_id"), "displacement_km", "path_km", places=3), "gap_days")
+
+
 @query(f"WITH {_FIX} SELECT user_id, year(ts) AS year, count(*) AS fixes, count(DISTINCT month(ts)) AS months, round(avg(lat), 5) AS mean_lat, round(max(lat) - min(lat), 5) AS lat_range, count(DISTINCT event_type) AS sensors FROM x GROUP BY ALL HAVING count(*) >= 5 AND count(DISTINCT month(ts)) >= 1")
 def individual_years(spark, sf_dir):
     return _r(panels.individual_years(_fixes(spark, sf_dir), "user_id", "ts", "lat", "event_type", min_fixes=5, min_months=1), "mean_lat", "lat_range")
@@ -340,3 +348,11 @@ def owner_permissions(spark, sf_dir):
     decisions = o.select("o_orderkey", "o_custkey", F.when(status == "F", "high").when(status == "O", "embargoed").otherwise("low").alias("sensitivity"), reason.alias("reason"), F.when(reason.isNull(), "publish").otherwise("withhold").alias("decision"), F.lit(5.0).alias("grid"), F.lit(30).alias("delay_days"), F.lit(True).alias("drop_ids"))
     permissions = o.where("o_custkey % 3 = 0").select("o_custkey", F.when(F.col("o_custkey") % 2 == 0, F.lit(10.0)).alias("own_grid"), F.when(F.col("o_custkey") % 5 != 0, (F.col("o_custkey") % 7).cast("int")).alias("own_delay_days"), F.lit(False).alias("own_drop_ids")).distinct()
     return gate.with_permission(decisions, permissions, ["o_custkey"]).select("o_orderkey", "grid", "delay_days", "decision")
+
+
+@query("""SELECT c_mktsegment AS taxon, CASE WHEN c_nationkey % 6 = 5 OR c_nationkey % 6 = 4 THEN 'withheld: not published' ELSE coalesce(nullif(concat_ws('; ', CASE c_nationkey % 3 WHEN 0 THEN 'positions to 1.0 degrees' WHEN 1 THEN 'positions to 2.5 degrees' END, CASE WHEN c_nationkey % 4 > 0 THEN 'delayed by ' || (c_nationkey % 4 * 10) || ' days' END, CASE WHEN c_nationkey % 2 = 0 THEN 'identifiers removed' END), ''), 'none') END AS said, count(*) AS n FROM customer GROUP BY ALL""")
+def generalisation_statements(spark, sf_dir):
+    k = F.col("c_nationkey")
+    grid = F.when(k % 3 == 0, 1.0).when(k % 3 == 1, 2.5)
+    said = gate.statement(grid, (k % 4 * 10).cast("int"), k % 2 == 0, F.when(k % 6 != 5, k % 6 == 4))
+    return _t(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("taxon"), said.alias("said")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window, functions as F, types as T
 
 from skeinflow.functions import geo
-from skeinflow.operators import atlas, gate, hygiene, inference, passage, ranges, tracks
+from skeinflow.operators import atlas, gate, hygiene, inference, panels, passage, ranges, tracks
 from skeinflow.plans import registry
 from skeinflow.sources import lake
 
@@ -211,3 +211,16 @@ def test_geometry_of_cells(spark):
     assert row.flat == pytest.approx(55.66) and row.area == pytest.approx(12363.7, abs=1)
     globe = spark.range(180).select(F.sum(360 * geo.cell_area_km2(F.col("id") - 89.5, 1.0)).alias("a")).first().a
     assert globe == pytest.approx(4 * math.pi * geo.EARTH_KM**2)
+
+
+def test_path_grows_with_fixes_and_displacement_does_not(spark):
+    rng = __import__("random").Random(7)
+    rows = []
+    for h in range(250 * 24):
+        lat = 40 + 0.002 * h / 24 * 10 + rng.gauss(0, 0.03)
+        rows += [(a, dt.datetime(2020, 1, 1) + dt.timedelta(hours=h), lat, 10.0 + rng.gauss(0, 0.03)) for a, every in (("all", 1), ("thin", 6)) if h % every == 0]
+    df = spark.createDataFrame(rows + [("none", dt.datetime(2020, 1, 2), 1.0, 1.0)], "a string, t timestamp, la double, lo double")
+    got = {r.a: r for r in panels.seasonal_path(df, ["a"], "t", "la", "lo", (1, 30), (180, 220)).collect()}
+    assert set(got) == {"all", "thin"}
+    assert got["all"].displacement_km == pytest.approx(got["thin"].displacement_km, rel=0.05)
+    assert got["all"].path_km > 3 * got["thin"].path_km and got["thin"].gap_days == pytest.approx(0.25)
