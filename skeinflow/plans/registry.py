@@ -151,7 +151,7 @@ def gear_change_year(spark, sf_dir):
 
 
 _FIX = "x AS (SELECT user_id, event_id, ts, 40 + ((event_id * 7) % 1000) / 100.0::DOUBLE AS lat, -100 + ((event_id * 13) % 1000) / 100.0::DOUBLE AS lon, event_type FROM events)"
-_KM = "2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2))))"
+_KM = "2 * 6371.0088 * asin(sqrt(least(1, pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2)))) + 0 * ({0} + {1} + {2} + {3})"
 
 
 def _fixes(spark, sf_dir):

@@ -224,3 +224,9 @@ def test_path_grows_with_fixes_and_displacement_does_not(spark):
     assert set(got) == {"all", "thin"}
     assert got["all"].displacement_km == pytest.approx(got["thin"].displacement_km, rel=0.05)
     assert got["all"].path_km > 3 * got["thin"].path_km and got["thin"].gap_days == pytest.approx(0.25)
+
+
+def test_the_first_fix_has_no_step(spark):
+    df = spark.createDataFrame([("a", dt.datetime(2020, 1, d), float(d), 0.0) for d in (1, 2, 3)] + [("b", dt.datetime(2020, 1, 1), None, 0.0)], "i string, t timestamp, la double, lo double")
+    got = [r.step_km for r in tracks.steps(df, ["i"], "t", "la", "lo").orderBy("i", "t").collect()]
+    assert got[0] is None and got[3] is None and got[1:3] == pytest.approx([111.195, 111.195], abs=1e-2)
