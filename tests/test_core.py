@@ -1,10 +1,12 @@
 """Planted fixtures for operators, and every query with SQL against DuckDB on the smallest tables."""
 
 import datetime as dt
+import hashlib
 import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F, types as T
 
@@ -70,6 +72,23 @@ def test_permutation_null_is_centred_and_a_trend_lies_outside(spark):
     assert (few.groups, few["mean"]) == (None, None)
 
 
+def test_permutation_null_equals_brute_force_and_joins_nothing_after_the_draws(spark):
+    rows = [(k, 1990 + y, float((y * 7 + k * k) % 11)) for k in range(5) for y in range(4 + k)] + [(9, 2000, float(v)) for v in range(6)] + [(None, 1990 + y, float(y)) for y in range(6)]
+    out = passage.permutation_null(spark.createDataFrame(rows, "k int, y int, v double"), ["k"], "y", "v", draws=20, min_years=5, seed=3)
+    means = []
+    for draw in range(1, 21):
+        slopes = []
+        for k in range(1, 5):
+            own = sorted((y, v) for g, y, v in rows if g == k)
+            order = sorted(range(1, len(own) + 1), key=lambda i: (hashlib.md5(f"3-{draw}-{k}-{i}".encode()).hexdigest(), i))
+            slopes.append(10 * np.polyfit([y for y, _ in own], [own[i - 1][1] for i in order], 1)[0])
+        means.append(np.mean(slopes))
+    got = out.first()
+    # one year alone has no slope; a group without a key is none
+    assert got.groups == 4 and (got["mean"], got.low, got.high) == pytest.approx((np.mean(means), *np.quantile(means, (0.025, 0.975))))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scattered_segment_goes_and_track_stays(spark):
     t0 = dt.datetime(2020, 1, 1)
     rows = [("a", t0 + dt.timedelta(hours=i), 10 + i * 0.01, 10.0) for i in range(40)] + [("a", t0 + dt.timedelta(hours=20, minutes=30), 60.0, 10.0)]
