@@ -1,5 +1,6 @@
 """Ranks, quantiles, rank tests and spatial nulls against brute force on small tables."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -89,6 +90,22 @@ def test_groups_held_out(spark, legs):
         assert 0.6 * drawn < r.median_se < 1.6 * drawn
 
 
+@pytest.mark.parametrize("n", (1, 2, 7, 300))
+def test_drawn_medians_equal_brute_force(spark, n):
+    rows = [(g, float((k * k * 7) % m) - 3.0, 10 * k + i) for i, (g, m) in enumerate((("a", 1000), ("b", 3), ("c", 1))) for k in range(n)]
+    want = {}
+    for g in "abc":
+        for draw in range(1, 31):
+            vs = []
+            for _, v, i in (r for r in rows if r[0] == g):
+                u = int(hashlib.md5(f"5-{draw}-{i}".encode()).hexdigest()[:8], 16) / 2**32
+                vs += [v] * sum(u >= p for p in inference.POISSON)
+            if vs:
+                want[g, draw] = float(np.median(vs))
+    got = inference._drawn_medians(spark.createDataFrame(rows, "g string, _v double, _id int"), "g", 30, 5)
+    assert {(r.g, r.draw): r.median for r in got.collect()} == want
+
+
 def test_spearman_of_constants_and_of_ranks(spark):
     df = spark.createDataFrame([("flat", 1.0, float(k)) for k in range(9)] + [("up", float(k), float(k) ** 3) for k in range(9)] + [("none", float(k % 3), float(k % 5)) for k in range(60)], "g string, x double, y double")
     got = {r.g: r for r in inference.spearman(df, ["g"], "x", "y").collect()}
