@@ -17,6 +17,11 @@ VISIBLE_CELLS = 2
 KM_PER_DEGREE = 111.32
 
 
+def _tenths(c: str) -> Column:
+    """To one place as other engines do: a value a hair below a tie goes up if ten times it is the tie."""
+    return F.round(F.col(c) * 10) / 10
+
+
 def _by_week(name: str, value: Column) -> Column:
     """Map from name and week to value, of the weeks that have one; in order of weeks."""
     held = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("week", value.alias("v")))))
@@ -36,11 +41,11 @@ def station_series(nights: DataFrame, site: str, lon: str, lat: str, time: str,
     place = F.min_by(F.struct(F.col(lon).alias("lon"), F.col(lat).alias("lat")), F.struct(time, lon, lat))
     sites = d.groupBy(site).agg(place.alias("_at"))
     at = lambda c: F.round(F.col(f"_at.{c}") if grid is None else snap(F.col(f"_at.{c}"), grid), 4)
-    weekly = weekly_climatology(d, [site], time, value).groupBy(site).agg(_by_week("w", F.round("value", 1)).alias("values"), F.max("years").alias("years"))
+    weekly = weekly_climatology(d, [site], time, value).groupBy(site).agg(_by_week("w", _tenths("value")).alias("values"), F.max("years").alias("years"))
     out = sites.select(site, at("lon").alias("lon"), at("lat").alias("lat")).join(weekly, site)
     none = F.create_map().cast("map<string,double>")
     if direction is not None and speed is not None:
-        flow = weekly_flow(d, [site], time, direction, speed, value).groupBy(site).agg(F.map_concat(_by_week("dw", F.pmod(F.round("bearing"), F.lit(360.0))), _by_week("sw", F.round("speed", 1))).alias("vectors"))
+        flow = weekly_flow(d, [site], time, direction, speed, value).groupBy(site).agg(F.map_concat(_by_week("dw", F.pmod(F.round("bearing"), F.lit(360.0))), _by_week("sw", _tenths("speed"))).alias("vectors"))
         out = out.join(flow, site, "left").withColumn("vectors", F.coalesce("vectors", none))
     else:
         out = out.withColumn("vectors", none)
