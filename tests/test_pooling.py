@@ -103,3 +103,10 @@ def test_diagnosis_by_band_has_its_variants(spark):
     assert got["low", "step"].sites == 23 and got["low", "balanced step"].sites == 20
     assert got["high", "plain"]["shift"] is None and got["high", "curved step"].curvature is not None
     assert got["high", "plain"].per_decade > got["high", "step"].per_decade
+
+
+def test_diagnosis_may_want_more_years_after_the_break(spark):
+    short = [(300 + k, 31.0, y, 100.0 + (y * 3 + k) % 5) for k in range(12) for y in range(2003, 2009)]
+    df = spark.createDataFrame(panel(9, 40, -1.0, step=2.0) + short, "s int, lat double, y int, v double")
+    sites = lambda **more: pooling.break_diagnosis(df, {"low": (30.0, 40.0)}, "s", "y", "v", "lat", 2006, least=3, **more).where("variant = 'balanced step'").first().sites
+    assert (sites(), sites(least_after=4)) == (32, 20)
