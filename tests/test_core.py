@@ -179,6 +179,21 @@ def test_far_points_have_no_cell_and_are_refused(spark):
         grids.nearest_cells(points.where("p = 2"), cells, "p", "c", reach=2.0, max_error_km=250.0).collect()
 
 
+def test_rows_at_one_position_make_one_pair(spark):
+    from skeinflow.operators import grids
+
+    points = spark.range(3000).select(F.col("id").alias("p"), (F.col("id") % 2 * 3.0).alias("lon"), F.lit(0.25).alias("lat"))
+    cells = spark.range(1, 3001).select((3001 - F.col("id")).alias("c"), (F.col("id") % 2 * 3.0).alias("lon"), F.lit(0.0).alias("lat"))
+    cells = cells.unionByName(spark.createDataFrame([(0, 0.0, 0.5), (-1, None, 0.25)], "c long, lon double, lat double"))
+    out = grids.nearest_cells(points, cells, "p", "c", reach=1.0)
+    got = {(r.lon, r.c, r.error_km): r.n for r in out.join(points, "p").groupBy("lon", "c", "error_km").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0.0, 0, 27.75): 1500, (3.0, 2, 27.75): 1500}
+    # of both sides only distinct positions meet
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    met = plan[plan.index("Join Inner, ((((_i"):] if "Join Inner, ((((_i" in plan else plan
+    assert "Aggregate [_x" in met and "Aggregate [lon" in met
+
+
 def test_without_takes_null_for_equal(spark):
     from skeinflow.operators import panels
 
