@@ -100,3 +100,15 @@ VARIES = {"occupancy": "psi", "occupancy_interval": "low", "epoch_changes": "d_p
 def test_results_vary(spark, name):
     rows = registry.QUERIES[name](spark, "/root/testdata/sf0.01").select(VARIES[name]).distinct().collect()
     assert len(rows) > 1
+
+
+def test_balanced_panel_drops_no_year_for_its_observations(spark):
+    """Stations with two years on both sides of 1998 stay, with all their years."""
+    from skeinflow.plans import more_queries
+
+    d = more_queries._panel(spark, "/root/testdata/sf0.01")
+    want = {}
+    for r in d.collect():
+        want.setdefault(r.l_suppkey, set()).add(r.year)
+    want = {k: len(ys) for k, ys in want.items() if sum(y < 1998 for y in ys) >= 2 and sum(y >= 1998 for y in ys) >= 2}
+    assert {r.l_suppkey: r.years for r in registry.QUERIES["balanced_panel"](spark, "/root/testdata/sf0.01").collect()} == want
