@@ -7,9 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def reporting_rates(df: DataFrame, cell: Sequence[str], card: str, species: str) -> DataFrame:
-    """Distinct cards with the species and distinct cards in all, per cell; never their ratio."""
-    once = df.select(*cell, species, card).distinct()  # a card counts once for each species
+def reporting_rates(df: DataFrame, cell: Sequence[str], card: str, species: str, *, parts: int | None = None) -> DataFrame:
+    """Distinct cards with the species and distinct cards in all, per cell; never their ratio.
+
+    With ``parts`` rows are dealt by cell into so many partitions before they are
+    counted, once for both counts, which suits cells that are many and small; without,
+    they are counted where they lie first.
+    """
+    d = df.select(*cell, species, card)
+    once = (d if parts is None else d.repartition(parts, *cell)).distinct()  # a card counts once for each species
     seen = once.groupBy(*cell, species).agg(F.count(card).alias("cards_with"))
     return seen.join(once.groupBy(*cell).agg(F.countDistinct(card).alias("cards")), list(cell))
 

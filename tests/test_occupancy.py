@@ -82,3 +82,16 @@ def test_expected_taxa_equal_the_sum_over_all_rows(simulated):
     want = d.join(fits.select("t", "psi", "p"), "t").groupBy("cell").agg(F.count_if(F.col("k") > 0).alias("a"), F.sum(chance).alias("b")).collect()
     assert len(want) == len(got) == 200
     assert all(got[r.cell][0] == r.a and got[r.cell][1] == pytest.approx(r.b) for r in want)
+
+
+def test_cards_are_joined_in_parts_that_grow_with_the_items(spark, monkeypatch):
+    from skeinflow.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, sf).collect()))
+    whole = {name: rows(name) for name in ("reporting_rates", "paired_footprint")}
+    assert registry._parts(spark.range(0)) == 4 and registry._parts(spark.range(10 * registry.ITEMS_A_TASK + 1)) == 11
+    monkeypatch.setattr(registry, "ITEMS_A_TASK", 500)
+    assert {name: rows(name) for name in whole} == whole
+    rates, _ = registry.card_cells(spark, sf)
+    assert f", {registry._parts(registry._t(spark, sf, 'lineitem'))}" in rates._jdf.queryExecution().optimizedPlan().toString()
