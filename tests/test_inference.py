@@ -50,6 +50,29 @@ def test_normal_tail():
         assert got == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=2e-7)
 
 
+def test_few_groups_do_not_gather_in_tasks(spark, monkeypatch):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(20_000).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+        ranked = inference.value_ranks(df.groupBy("g", "v").agg(F.count("*").alias("n")), ["g"], "v")
+        assert ranked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 5_000  # of 10,000 in a group
+        seen = []
+        monkeypatch.setattr(inference, "cut", lambda d: seen.append(d) or d)
+        inference.pairwise_rank_tests(df, "g", "v")
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+        for i, line in enumerate(plan):
+            if "BroadcastExchange" in line:
+                inside = itertools.takewhile(lambda x: depth(x) > depth(line), plan[i + 1 :])
+                assert not any("count(1)" in x for x in inside)  # the groups are sent to the counts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_rank_tests_equal_brute_force(spark, legs):
     df = spark.createDataFrame(legs, "i int, g string, v double")
     got = {(r.group_a, r.group_b): r for r in inference.pairwise_rank_tests(df, "g", "v").collect()}
