@@ -12,8 +12,8 @@ together are tokens of the whole, whatever lies around; where two slices meet in
 tokens that do not, the tokens around that place are encoded again as one string,
 and more of them each time, until all neighbours fit.
 
-A task keeps up to ``CACHE_PIECES`` encoded pieces, those seen last; what falls out
-is encoded again, so the bound costs time only.
+A task keeps its encoded pieces; beyond ``CACHE_PIECES`` of them, those of the last
+texts only. What falls out is encoded again, so the bound costs time only.
 
 Cases: null text counts as empty and has no tokens; special tokens have no meaning
 in texts; a text of any length is cut once, its pieces are looked up one by one; an
@@ -28,6 +28,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -67,34 +68,24 @@ _WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}
 _DOUBLE = f"{_WHITE} {_WHITE}|^ | $"
 
 
-class _Recent:
-    """What was looked up last: between one and two halves of ``CACHE_PIECES`` entries."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
-
-    def take(self, wanted) -> tuple[dict[str, tuple[str, bytes]], list[str]]:
-        """The entries that are known, and the keys that are not."""
-        out, new = {}, []
-        for x in wanted:
-            got = self.young.get(x)
-            if got is None:
-                got = self.old.get(x)
-                if got is None:
-                    new.append(x)
-                    continue
-                self.young[x] = got
-            out[x] = got
-        return out, new
-
-    def put(self, out: dict, fresh) -> None:
-        """Adds the entries here and to out."""
-        fresh = dict(fresh)
-        out.update(fresh)
-        self.young.update(fresh)
-        if len(self.young) > CACHE_PIECES // 2:
-            self.old, self.young = self.young, {}
+@lru_cache(maxsize=2)
+def _tables(path: str) -> tuple[dict[bytes, int], pa.Table, pa.Table]:
+    """Ranks, pairs of tokens that are a token together, and the vocabulary: read once by each worker."""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    a, b, rank = zip(*pairs, strict=True)
+    merges = pa.table({"ab": (np.array(a, np.int64) << 20) | np.array(b, np.int64), "rank": pa.array(rank, pa.int32())})
+    return ranks, merges, pa.table({"token": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]})
+
+
+def _offsets(lists: list[list]) -> np.ndarray:
+    return np.cumsum([0, *map(len, lists)])
+
+
+def _join(offsets, values: pa.Array, gap: bytes) -> pa.Array:
+    """Runs of values as one binary value each."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), gap)
 
 
 class Codec:
@@ -104,66 +95,93 @@ class Codec:
         import duckdb
         import regex
 
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks, merges, vocabulary = _tables(path)  # noqa: F841
         self.name = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.seen, self.chunks = _Recent(), _Recent()
+        self.whole, self.rank = pa.array(self.ranks, pa.binary()), np.fromiter(self.ranks.values(), np.int32, len(self.ranks))
+        self.forget()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        a, b, rank = zip(*pairs, strict=True)
-        merges = pa.table({"ab": (np.array(a, np.int64) << 20) | np.array(b, np.int64), "rank": pa.array(rank, pa.int32())})  # noqa: F841
-        vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
 
+    def forget(self) -> None:
+        """The pieces encoded last, their ids and their bytes, are none."""
+        self.seen = (pa.array([], pa.string()), pa.array([], pa.binary()), pa.array([], pa.binary()))
+
     def pieces(self, wanted: set[str]) -> dict[str, tuple[str, bytes]]:
         """Ids, as decimal strings joined by a space, and decoded bytes of each piece."""
-        out, new = self.seen.take(wanted)
-        short = [(p, body) for p in new if len(body := p.encode()) <= SLICE]
-        for at in range(0, len(short), _AT_ONCE):
-            part = short[at : at + _AT_ONCE]
-            self.seen.put(out, zip([p for p, _ in part], self._rounds([b for _, b in part]), strict=True))
-        if len(short) < len(new):
-            long = [p for p in new if p not in out]
-            self.seen.put(out, zip(long, self._long([p.encode() for p in long]), strict=True))
-        return out
-
-    def _chunks(self, wanted: list[str]) -> list[tuple[str, bytes]]:
-        """The same of strings that begin and end with a piece."""
-        out, new = self.chunks.take(wanted)
-        cut = [[x] if x.removeprefix(" ").isalpha() else self.find(x) for x in new]  # letters after a space are one piece
-        known = self.pieces(set(chain.from_iterable(cut)))
-        fresh = []
-        for x, pieces in zip(new, cut, strict=True):
-            if len(pieces) == 1:
-                fresh.append((x, known[pieces[0]]))
-            else:
-                got = [known[p] for p in pieces]
-                fresh.append((x, (" ".join([g[0] for g in got]), b"".join([g[1] for g in got]))))
-        self.chunks.put(out, fresh)
-        return [out[x] for x in wanted]
-
-    def _rounds(self, bodies: list[bytes]) -> list[tuple[str, bytes]]:
+        keys = pa.array(wanted, pa.string())
+        ids, bodies = (x.to_pylist() for x in self._coded(keys))
+        return {p: (i.decode(), body) for p, i, body in zip(keys.to_pylist(), ids, bodies, strict=True)}
+
+    def _coded(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids and bytes of distinct pieces; those that were seen last are not encoded again."""
+        at = pc.index_in(pieces, value_set=self.seen[0])
+        new = pieces.filter(at.is_null())
+        if len(new):
+            short = pc.less_equal(pc.binary_length(new), SLICE)
+            parts, bodies = [self.seen], new.filter(short)
+            for k in range(0, len(bodies), _AT_ONCE):
+                part = bodies.slice(k, _AT_ONCE)
+                parts.append((part, *self._rounds(part.cast(pa.binary()))))
+            if len(bodies) < len(new):
+                long = new.filter(pc.invert(short))
+                got = self._long(long.cast(pa.binary()).to_pylist())
+                parts.append((long, *(pa.array(x, pa.binary()) for x in zip(*got, strict=True))))
+            self.seen = tuple(pa.concat_arrays(x) for x in zip(*parts, strict=True))
+            at = pc.index_in(pieces, value_set=self.seen[0])
+        ids, out = (x.take(at) for x in self.seen[1:])
+        if len(self.seen[0]) > CACHE_PIECES:
+            self.seen = (pieces, ids, out)
+        return ids, out
+
+    def _joined(self, pieces: pa.Array, offsets: np.ndarray) -> list[pa.Array]:
+        """Ids and bytes of runs of pieces."""
+        coded = pieces.dictionary_encode()
+        return [_join(offsets, x.take(coded.indices), gap) for x, gap in zip(self._coded(coded.dictionary), (b" ", b""), strict=True)]
+
+    def _chunks(self, chunks: pa.Array, opening: pa.Array) -> list[pa.Array]:
+        """Ids and bytes of chunks after their space, then of those that open a text.
+
+        Chunks after a space are cut as one string, in which each of their spaces begins
+        a piece and no other piece begins with one. White space beside it would go with
+        the end of the chunk before, so chunks that begin with white space are cut alone.
+        """
+        alone = pc.match_substring_regex(chunks, f"^{_WHITE}").to_numpy(zero_copy_only=False)
+        usual = chunks.filter(pa.array(~alone)).to_pylist()
+        found = pa.array(self.find("".join([f" {x}" for x in usual])), pa.string())
+        starts = np.flatnonzero(pc.starts_with(found, " ").to_numpy(zero_copy_only=False))
+        if len(starts) != len(usual):
+            raise ValueError("the pattern must begin a piece at a single space")
+        rest = [self.find(x) for x in [f" {x}" for x in chunks.filter(pa.array(alone)).to_pylist()] + opening.to_pylist()]
+        pieces = pa.concat_arrays([found, pa.array(chain.from_iterable(rest), pa.string())])
+        coded = self._joined(pieces, np.append(starts, len(found) + _offsets(rest)))
+        at = np.arange(len(chunks) + len(opening))
+        at[np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])] = np.arange(len(chunks))
+        return [x.take(pa.array(at)) for x in coded]
+
+    def _rounds(self, bodies: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Encodes byte strings; one that is a token is that token, as in the reference encoders."""
-        whole = [self.ranks.get(x) for x in bodies]
-        size = np.fromiter((1 if r is not None else len(x) for x, r in zip(bodies, whole, strict=True)), np.int64, len(bodies))
-        piece = np.repeat(np.arange(len(bodies), dtype=np.int64), size)
+        token = pc.index_in(bodies, value_set=self.whole)
+        other = np.flatnonzero(token.is_null().to_numpy(zero_copy_only=False))
+        whole = np.flatnonzero(token.is_valid().to_numpy(zero_copy_only=False))
+        size = pc.binary_length(rest := bodies.take(pa.array(other))).to_numpy()
+        piece = np.repeat(other, size)
         pos = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
-        token = self.byte[np.frombuffer(b"".join([x if r is None else b"-" for x, r in zip(bodies, whole, strict=True)]), np.uint8)]
-        first = (np.cumsum(size) - size)[[i for i, r in enumerate(whole) if r is not None]]
-        token[first] = [r for r in whole if r is not None]
-        self.db.register("start", pa.table({"id": (piece << 16) | pos, "token": token}))
-        found = self.db.sql(_ROUNDS).to_arrow_table()
+        self.db.register("start", pa.table({
+            "id": np.concatenate([(piece << 16) | pos, whole << 16]),
+            "token": np.concatenate([self.byte[np.frombuffer(b"".join(rest.to_pylist()), np.uint8)], self.rank[token.drop_null().to_numpy()]]),
+        }))
+        found = self.db.sql(_ROUNDS).to_arrow_table().combine_chunks()
         self.db.unregister("start")
-        out: list = [("", b"")] * len(bodies)
-        for k, *got in zip(*(found[c].to_pylist() for c in ("piece", "ids", "body")), strict=True):
-            out[k] = tuple(got)
-        return out
+        at = np.full(len(bodies), -1)
+        at[found["piece"].to_numpy()] = np.arange(len(found))
+        at = pa.array(at, mask=at < 0)  # an empty string has no rows
+        return tuple(found[c].cast(pa.binary()).combine_chunks().take(at).fill_null(b"") for c in ("ids", "body"))
 
     def _tokens(self, bodies: list[bytes]) -> list[list[int]]:
-        return [[int(i) for i in ids.split()] for ids, _ in self._rounds(bodies)]
+        return [[int(i) for i in ids.split()] for ids in self._rounds(pa.array(bodies, pa.binary()))[0].to_pylist()]
 
     def _long(self, bodies: list[bytes]) -> list[tuple[str, bytes]]:
         """Pieces of any length by slices; see the module's text."""
@@ -219,39 +237,36 @@ class Codec:
         out: list = [(b"", b"")] * len(texts)
         double, full = pc.match_substring_regex(texts, _DOUBLE).to_numpy(zero_copy_only=False), pc.binary_length(texts).to_numpy() > 0
         odd, even = np.flatnonzero(double & full), np.flatnonzero(~double & full)
+        done = []
         if len(odd):
             cut = [self.find(x) for x in texts.take(pa.array(odd)).to_pylist()]
-            known = self.pieces(set().union(*cut))
-            for i, pieces in zip(odd.tolist(), cut, strict=True):
-                got = [known[p] for p in pieces]
-                out[i] = (" ".join([g[0] for g in got]).encode(), b"".join([g[1] for g in got]))
+            done.append((odd, self._joined(pa.array(chain.from_iterable(cut), pa.string()), _offsets(cut))))
         if len(even):
             lists = pc.split_pattern(texts.take(pa.array(even)), " ")
-            coded = pc.dictionary_encode(lists.flatten())
+            coded = lists.flatten().dictionary_encode()
             place = coded.indices.to_numpy().copy()
             starts = lists.offsets.to_numpy()[:-1]
             opening = np.unique(place[starts])
             at = np.full(len(coded.dictionary), -1, np.int32)
             at[opening] = len(at) + np.arange(len(opening))
             place[starts] = at[place[starts]]
-            # every chunk after its space, then those that open a text
-            after = pc.binary_join_element_wise("", coded.dictionary, " ")
-            found = self._chunks(after.to_pylist() + coded.dictionary.take(pa.array(opening)).to_pylist())
-            joined = [pc.binary_join(pa.ListArray.from_arrays(lists.offsets, pa.array([f[k] for f in found], pa.binary()).take(pa.array(place))), gap).to_pylist() for k, gap in ((0, b" "), (1, b""))]
-            for i, a, b in zip(even.tolist(), *joined, strict=True):
+            found = self._chunks(coded.dictionary, coded.dictionary.take(pa.array(opening)))
+            done.append((even, [_join(lists.offsets, x.take(pa.array(place)), gap) for x, gap in zip(found, (b" ", b""), strict=True)]))
+        for where, (ids, bodies) in done:
+            for i, a, b in zip(where.tolist(), ids.to_pylist(), bodies.to_pylist(), strict=True):
                 out[i] = (a, b)
         return out
 
 
 @contextmanager
 def _codec(path: str, pattern: str):
-    """A task's codec. It goes with the task: a worker that waits for other work holds no memory for it."""
+    """A task's codec. It goes with the task: a worker that waits for other work holds the vocabulary only."""
     codec = Codec(path, pattern)
     try:
         yield codec
     finally:
         codec.db.close()
-        codec.seen, codec.chunks = _Recent(), _Recent()
+        codec.forget()
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:

@@ -204,6 +204,23 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(spark, docs, rows):
     assert {r.doc_id: r.text for r in bpe.decode_ids(encoded, path, pattern).collect()} == {r[0]: r[1] or "" for r in rows + more}
 
 
+def test_new_words_of_many_texts_are_cut_together():
+    import pyarrow as pa
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    codec = bpe.Codec(path, pattern)
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.choice(['w', 'é', '1', '的'])}{rng.randrange(10**6)}{rng.choice([',', '.', '', chr(39) + 'll'])}" for _ in range(50)) for _ in range(40)]
+    texts += ["".join(rng.choice(["a", "b ", " ", "\n", "\t", "\u3000", "\x1c", "'s", "1\u00b2", "\U0001d4b3", "."]) for _ in range(rng.randrange(40))) for _ in range(400)] + ["", " ", "\n", "a \nb", "a\n b", "a \n b"]
+    calls, find = [], codec.find
+    codec.find = lambda x: calls.append(x) or find(x)
+    plain = codec.encode(pa.array(texts[:40]))
+    assert len(calls) <= 1 + 40  # the words after a space at once, and each text's first
+    assert [(a.decode(), b.decode()) for a, b in plain + codec.encode(pa.array(texts[40:]))] == [(" ".join(map(str, enc.encode_ordinary(x))), x) for x in texts]
+
+
 def test_long_pieces_equal_tiktoken_and_are_quick():
     import time
 
