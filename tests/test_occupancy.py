@@ -1,6 +1,7 @@
 """Occupancy from sums: no silent rows, intervals that hold the planted value, flags, expected taxa."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,22 @@ def test_cards_are_joined_in_parts_that_grow_with_the_items(spark, monkeypatch):
     assert {name: rows(name) for name in whole} == whole
     rates, _ = registry.card_cells(spark, sf)
     assert f", {registry._parts(registry._t(spark, sf, 'lineitem'))}" in rates._jdf.queryExecution().optimizedPlan().toString()
+
+
+#: Queries on the cards of both epochs, whose tasks were as large as the line items made them.
+CARD_QUERIES = ["dropped_by_stricter_rule"]
+
+
+@pytest.mark.parametrize("name", CARD_QUERIES)
+def test_card_queries_deal_items_and_cells_in_parts(spark, monkeypatch, name):
+    from skeinflow.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(repr, registry.QUERIES[name](spark, sf).collect()))
+    whole = rows()
+    monkeypatch.setattr(registry, "ITEMS_A_TASK", 500)
+    parts = registry._parts(registry._t(spark, sf, "lineitem"))
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    for dealt in ("l_partkey#\\d+L", "l_orderkey#\\d+L", "cell#\\d+L, epoch#\\d+"):
+        assert re.search(rf"RepartitionByExpression \[{dealt}\], {parts}\b", plan)
+    assert parts > 4 and rows() == whole
