@@ -99,7 +99,7 @@ def test_cards_are_joined_in_parts_that_grow_with_the_items(spark, monkeypatch):
 
 
 #: Queries on the cards of both epochs, whose tasks were as large as the line items made them.
-CARD_QUERIES = ["dropped_by_stricter_rule", "epoch_change_summary", "occupancy_interval", "occupancy_likelihood"]
+CARD_QUERIES = ["dropped_by_stricter_rule", "epoch_change_summary", "epoch_changes", "occupancy_interval", "occupancy_likelihood"]
 
 
 @pytest.mark.parametrize("name", CARD_QUERIES)
