@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def reporting_rates(df: DataFrame, cell: Sequence[str], card: str, species: str, *, parts: int | None = None) -> DataFrame:
     """Distinct cards with the species and distinct cards in all, per cell; never their ratio.
 
-    With ``parts`` rows are dealt by cell into so many partitions before they are
-    counted, once for both counts, which suits cells that are many and small; without,
+    With ``parts`` rows are dealt by cell into so many partitions and put in order by
+    card, once for both counts, which suits cells that are many and small; without,
     they are counted where they lie first.
     """
     d = df.select(*cell, species, card)
-    once = (d if parts is None else d.repartition(parts, *cell)).distinct()  # a card counts once for each species
-    seen = once.groupBy(*cell, species).agg(F.count(card).alias("cards_with"))
-    return seen.join(once.groupBy(*cell).agg(F.countDistinct(card).alias("cards")), list(cell))
+    if parts is None:
+        once = d.distinct()  # a card counts once for each species
+        seen = once.groupBy(*cell, species).agg(F.count(card).alias("cards_with"))
+        return seen.join(once.groupBy(*cell).agg(F.countDistinct(card).alias("cards")), list(cell))
+    for c in cell:
+        d = d.where(F.col(c).isNotNull())
+    by_card = Window.partitionBy(*cell, card).orderBy(species)
+    d = d.repartition(parts, *cell).select("*", F.row_number().over(by_card).alias("_place"), F.lag(species).over(by_card).alias("_before"))
+    # a card counts once for each species, and in all where its first species stands
+    first = F.col(card).isNotNull() & (F.col("_place") == 1)
+    new = F.col(card).isNotNull() & ((F.col("_place") == 1) | ~F.col(species).eqNullSafe(F.col("_before")))
+    seen = d.groupBy(*cell, species).agg(F.count_if(new).alias("cards_with"), F.count_if(first).alias("_first"))
+    return seen.select(*cell, species, "cards_with", F.sum("_first").over(Window.partitionBy(*cell)).alias("cards"))
 
 
 def pooled_effort(rates: DataFrame, period: Sequence[str], cell: Sequence[str], effort: str) -> DataFrame:
@@ -61,12 +72,17 @@ def card_sums(detections: DataFrame, effort: DataFrame, taxon: str, epoch: Seque
     e = list(epoch)
     whole = effort.groupBy(*e, F.col(n).cast("bigint").alias("m")).agg(F.count("*").alias("c")).groupBy(*e).agg(F.sum("c").alias("cells"), F.collect_list(F.struct("m", "c")).alias("held"))
     epochs = whole.agg(F.collect_list(F.struct(*e, "cells", "held")).alias("all"))
-    every = detections.select(taxon).distinct().crossJoin(F.broadcast(epochs)).select(taxon, F.explode("all").alias("x")).select(taxon, "x.*")
-    own = detections.where(F.col(k) > 0).groupBy(taxon, *e, F.col(n).cast("bigint").alias("m")).agg(F.count("*").alias("c"), F.sum(k).alias("k"))
-    own = own.groupBy(taxon, *e).agg(F.sum("c").alias("seen"), F.sum("k").cast("double").alias("detections"), F.sum(F.col("c") * F.col("m")).cast("double").alias("seen_cards"), F.map_from_entries(F.collect_list(F.struct("m", "c"))).alias("mine"))
-    left = F.transform("held", lambda x: F.struct(x["m"].alias("m"), (x["c"] - F.coalesce(F.try_element_at("mine", x["m"]), F.lit(0))).alias("c")))
-    silent = F.sort_array(F.filter(F.when(F.col("mine").isNull(), F.col("held")).otherwise(left), lambda x: x["c"] > 0)).cast(_SILENT)
-    return every.join(own, [taxon, *e], "left").select(taxon, *e, "cells", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("detections", F.lit(0.0)).alias("detections"), "seen_cards", silent.alias("silent"))
+    own = detections.groupBy(taxon, *e, F.col(n).cast("bigint").alias("m")).agg(F.count_if(F.col(k) > 0).alias("c"), F.sum(F.when(F.col(k) > 0, F.col(k))).alias("k"))
+    mine = F.map_from_entries(F.collect_list(F.when(F.col("c") > 0, F.struct("m", "c")))).alias("mine")
+    own = own.groupBy(taxon, *e).agg(F.sum("c").alias("seen"), F.sum("k").cast("double").alias("detections"), F.sum(F.when(F.col("c") > 0, F.col("c") * F.col("m"))).cast("double").alias("seen_cards"), mine)
+    # a taxon is one row with its epochs, so that the cards are read once for its list and its counts
+    own = own.groupBy(taxon).agg(F.collect_list(F.struct(*e, "seen", "detections", "seen_cards", "mine")).alias("own"))
+    every = own.crossJoin(F.broadcast(epochs)).select(taxon, "own", F.explode("all").alias("x")).select(taxon, "own", "x.*")
+    same = lambda y: reduce(lambda a, b: a & b, [y[c] == F.col(c) for c in e], F.col(taxon).isNotNull())
+    every = every.withColumn("own", F.try_element_at(F.filter("own", same), F.lit(1)))
+    left = F.transform("held", lambda x: F.struct(x["m"].alias("m"), (x["c"] - F.coalesce(F.try_element_at("own.mine", x["m"]), F.lit(0))).alias("c")))
+    silent = F.sort_array(F.filter(F.when(F.col("own").isNull(), F.col("held")).otherwise(left), lambda x: x["c"] > 0)).cast(_SILENT)
+    return every.select(taxon, *e, "cells", F.coalesce("own.seen", F.lit(0)).alias("seen"), F.coalesce("own.detections", F.lit(0.0)).alias("detections"), F.col("own.seen_cards").alias("seen_cards"), silent.alias("silent"))
 
 
 def _expected_silent(psi: Column, p: Column) -> Column:

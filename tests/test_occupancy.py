@@ -115,3 +115,32 @@ def test_card_queries_deal_items_and_cells_in_parts(spark, monkeypatch, name):
     for dealt in ("l_partkey#\\d+L", "l_orderkey#\\d+L", "cell#\\d+L, epoch#\\d+"):
         assert re.search(rf"RepartitionByExpression \[{dealt}\], {parts}\b", plan)
     assert parts > 4 and rows() == whole
+
+
+def test_rates_in_parts_equal_rates_where_they_lie(spark):
+    rng = random.Random(5)
+    pick = lambda n: rng.choice([None, *range(n)])
+    rows = [(pick(4), pick(3), pick(5), None if (t := pick(4)) is None else f"t{t}") for _ in range(400)] + [(9, 0, None, "t0"), (8, 0, 1, None), (7, 0, 2, "t1"), (7, 0, 2, "t2")]
+    d = spark.createDataFrame(rows, "cell int, epoch int, card int, species string")
+    have, want = (sorted(map(repr, atlas.reporting_rates(d, ["cell", "epoch"], "card", "species", parts=n).collect())) for n in (3, None))
+    assert have == want and len(have) > 50
+
+
+def test_card_sums_keep_taxa_without_a_detection_or_a_name(spark):
+    effort = spark.createDataFrame([(0, 1, 4), (0, 2, 5), (1, 1, 6)], "epoch int, cell int, n int")
+    seen = spark.createDataFrame([("a", 0, 1, 2, 4), ("a", 1, 1, 0, 6), ("b", 0, 2, 0, 5), (None, 0, 1, 1, 4)], "t string, epoch int, cell int, k int, n int")
+    got = {(r.t, r.epoch): (r.cells, r.seen, r.detections, r.seen_cards, [tuple(x) for x in r.silent]) for r in atlas.card_sums(seen, effort, "t", ["epoch"], "k", "n").collect()}
+    none = {0: (2, 0, 0.0, None, [(4, 1), (5, 1)]), 1: (1, 0, 0.0, None, [(6, 1)])}
+    assert got == {(t, e): none[e] for t in ("a", "b", None) for e in none} | {("a", 0): (2, 1, 2.0, 4.0, [(5, 1)])}
+
+
+@pytest.mark.parametrize("name", ["epoch_changes"])
+def test_card_queries_join_items_once(spark, name):
+    from skeinflow.plans import registry
+
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x and "ReusedExchange" not in x]
+    for key in ("l_partkey", "l_orderkey", "cell"):
+        assert sum(f"hashpartitioning({key}#" in x for x in made) == 1
