@@ -134,7 +134,7 @@ def test_card_sums_keep_taxa_without_a_detection_or_a_name(spark):
     assert got == {(t, e): none[e] for t in ("a", "b", None) for e in none} | {("a", 0): (2, 1, 2.0, 4.0, [(5, 1)])}
 
 
-@pytest.mark.parametrize("name", ["dropped_by_stricter_rule", "epoch_change_summary", "epoch_changes"])
+@pytest.mark.parametrize("name", ["dropped_by_stricter_rule", "epoch_change_summary", "epoch_changes", "occupancy_interval"])
 def test_card_queries_join_items_once(spark, name):
     from skeinflow.plans import registry
 
